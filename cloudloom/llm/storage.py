@@ -42,20 +42,18 @@ class Scratch:
     """The scratch tables of one operator call. What only later steps of the same call read is dropped by name."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark = spark
 
     def settle(self, df: DataFrame, name: str) -> DataFrame:
-        name = f"{name}-{len(self.paths)}"
-        path = self.paths[name] = f"{root(self.spark)}/{name}-{uuid.uuid4().hex}"
+        path = f"{root(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch = name
+        out._scratch = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no unfinished DataFrame reads any more, and shuffle files of finished jobs."""
         for table in tables:
-            path = self.paths.pop(table._scratch)
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         release(self.spark)

@@ -62,3 +62,20 @@ WITH RECURSIVE lowered AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(c, doc_id)) AS component_id, least(doc_id, coalesce(c, doc_id)) = doc_id AS kept
 FROM lowered LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of USING (doc_id)
 """
+
+ORACLES["op3_substring_dedup"] = r"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, p, md5(array_to_string(w[p : p + 19], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM cut WHERE len(w) >= 20)
+), later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM windows) WHERE k > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM later
+), words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM cut
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY q) AS t FROM words ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM cut LEFT JOIN kept USING (doc_id)
+"""

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def root(spark: SparkSession) -> str:
@@ -57,3 +58,35 @@ class Scratch:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         release(self.spark)
+
+
+#: Bits of the filter that is read before a semi join: 2 MB, whatever the input.
+FILTER_BITS = 1 << 24
+_BUCKET = 1 << 15
+
+
+def split(wide: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``wide`` whose key may be among ``keys``, rows whose key surely isn't), without a shuffle of ``wide``.
+
+    A bit filter of fixed size is built by map-side bitmaps and broadcast. A row goes to the first part if its key's bit is set: all
+    wanted keys and those that share a bit with one. With very many keys the first part is nearly everything.
+    """
+    place = F.pmod(F.xxhash64(on), F.lit(FILTER_BITS))
+    bucket, bit = F.floor(place / _BUCKET).cast("int"), F.pmod(place, F.lit(_BUCKET))
+    bits = keys.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    marked = wide.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(bits), "_bucket", "left")
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("shiftright(_byte, cast(_bit % 8 as int)) & 1 = 1"), F.lit(False))
+    marked = marked.withColumn("_byte", byte)
+    return marked.where(hit).select(wide.columns), marked.where(~hit).select(wide.columns)
+
+
+def semi_join(wide: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of ``wide`` whose key is among ``keys``; of the others, few are shuffled."""
+    return split(wide, keys, on)[0].join(keys.select(on).distinct(), on, "left_semi")
+
+
+def anti_join(wide: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of ``wide`` whose key isn't among ``keys``; of these, few are shuffled."""
+    maybe, surely_not = split(wide, keys, on)
+    return surely_not.unionByName(maybe.join(keys.select(on).distinct(), on, "left_anti").select(wide.columns))

@@ -111,9 +111,12 @@ def words(data: np.ndarray, offs: np.ndarray, separators: np.ndarray, lower: boo
     return Words(starts, ends, np.searchsorted(starts, offs), span_hashes(data, starts, ends))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end] for each span; works through pieces, so that long texts need no long tables."""
-    out = np.empty(len(starts), U64)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: tuple[int, ...] = ()) -> np.ndarray:
+    """Hash of data[start:end] for each span; works through pieces, so that long texts need no long tables.
+
+    With cuts, a row for each: the hashes of the spans' first ``cut`` bytes (of shorter spans, of the whole).
+    """
+    out = np.empty((max(1, len(cuts)), len(starts)), U64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, "right")))
@@ -121,10 +124,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         p, q = powers(b - a + 1)
         total = np.zeros(b - a + 1, U64)
         np.cumsum(BYTE_VALUES[data[a:b]] * p[:-1], out=total[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = mix((total[e] - total[s]) * q[s] + (e - s).astype(U64) * U64(0x9E3779B97F4A7C15))
+        s, whole = starts[i:j] - a, ends[i:j] - a
+        for k, e in enumerate([np.minimum(whole, s + c) for c in cuts] or [whole]):
+            out[k, i:j] = mix((total[e] - total[s]) * q[s] + (e - s).astype(U64) * U64(0x9E3779B97F4A7C15))
         i = j
-    return out
+    return out if cuts else out[0]
 
 
 def grams(hashes: np.ndarray, ptr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -4,11 +4,13 @@
    sketch: the samples are folded into a parity bitmap of 512 bits. Documents with equal sets are one class from here on.
 2. In every bucket (equal band key) one member, drawn by a hash that differs from bucket to bucket, is the centre; the others
    are paired with it. The number of pairs is linear in the memberships, whatever the size of a bucket.
-3. The population count of two sketches' XOR estimates their similarity; pairs that are far below the threshold go.
+3. The population count of two sketches' XOR estimates their similarity; pairs that are far below the threshold go. So do pairs that a
+   second, finer parity bitmap, of the whole set, shows to be below it.
 4. The best pair of every class is verified on full sets and the links are joined to components; then the other pairs whose ends
    are still apart are.
 5. In buckets that still hold several components, members of different components are compared with one another in blocks
-   of bounded size (never inside one component, nor inside the largest), by sketch and then exactly. After that every two classes
+   of bounded size (never inside one component, nor inside the largest), by the sketches and then exactly: first the
+   nearest of each, then all that are still apart. After that every two classes
    that share a bucket are in one component or have been found unlinked.
 
 At a similarity of 0.85 two sets share no bucket with probability (1 - 0.85^6)^28 < 2e-6, and less above.
@@ -21,19 +23,20 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
 from .components import components
-from .storage import Scratch
+from .storage import Scratch, anti_join, semi_join, settle
 
 SHINGLE = 5
 BANDS, ROWS = 28, 6
 SAMPLES = BANDS * ROWS
 SKETCH = 512
+#: Bits of the fine sketch, which folds the set itself.
+FINE = 2048
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: An estimate this many standard deviations below the threshold is not verified.
@@ -75,24 +78,57 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 def odd_sketches(m: np.ndarray) -> np.ndarray:
     """Parity bitmaps (rows, SKETCH / 64) of samples (rows, SAMPLES)."""
     cell = (X.mix(m.astype(np.uint64) ^ _CELL) % np.uint64(SKETCH)).astype(np.int64)
-    flat = np.bincount((cell + np.arange(len(m))[:, None] * SKETCH).ravel(), minlength=len(m) * SKETCH)
-    return np.packbits((flat & 1).astype(bool).reshape(len(m), SKETCH), axis=1).view(np.int64)
+    return _parities((cell + np.arange(len(m))[:, None] * SKETCH).ravel(), len(m), SKETCH)
+
+
+def _parities(cells: np.ndarray, rows: int, bits: int) -> np.ndarray:
+    flat = np.bincount(cells, minlength=rows * bits)
+    return np.packbits((flat & 1).astype(bool).reshape(rows, bits), axis=1).view(np.int64)
+
+
+def fine_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bitmaps (rows, FINE / 64) of whole sets."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    cell = (np.concatenate(sets) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - FINE.bit_length() + 1)
+    return _parities(cell.astype(np.int64) + row * FINE, len(sets), FINE)
+
+
+def odd_cells(thrown: np.ndarray | float, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of the number of cells that get an odd number of ``thrown`` balls."""
+    one, two = (1 - 2 / cells) ** thrown, (1 - 4 / cells) ** thrown
+    mean = cells / 2 * (1 - one)
+    return mean, np.maximum(mean + cells * (cells - 1) / 4 * (1 - 2 * one + two) - mean * mean, 0)
 
 
 def most_ones(percent: int = PERCENT) -> int:
     """The most ones in an XOR of sketches with which a pair may still reach the threshold.
 
-    Of SAMPLES samples a pair at similarity J differs in SAMPLES * (1 - J) on either side, give or take SIGMAS standard deviations;
-    so many odd cells are expected, and some more by chance.
+    Of SAMPLES samples a pair at similarity J differs in SAMPLES * (1 - J) on either side; so many cells are odd, less those that meet
+    in one. The margin is SIGMAS standard deviations of both together, the samples' and the cells'.
     """
     j = percent / 100
-    apart = 2 * (SAMPLES * (1 - j) + SIGMAS * math.sqrt(SAMPLES * j * (1 - j)))
-    ones = SKETCH / 2 * (1 - (1 - 2 / SKETCH) ** apart)
-    return math.ceil(ones + SIGMAS * math.sqrt(ones * (1 - 2 * ones / SKETCH) / 2))
+    apart, spread = 2 * SAMPLES * (1 - j), 2 * math.sqrt(SAMPLES * j * (1 - j))
+    at, by_cells = odd_cells(apart, SKETCH)
+    by_samples = (odd_cells(apart + SIGMAS * spread, SKETCH)[0] - at) / SIGMAS
+    return math.ceil(at + SIGMAS * math.hypot(by_samples, math.sqrt(by_cells)))
+
+
+def most_fine_ones(sizes, percent: int = PERCENT, of=np):
+    """The same for fine sketches, which fold the sets themselves; sizes: of both sets together, an array (or, of F, a column).
+
+    At the threshold two sets differ in (1 - J) / (1 + J) of their sizes' sum. There is no sampling error; where a sketch is too small for
+    its sets, the limit rises to what any pair reaches, and nothing is dropped.
+    """
+    apart = sizes * ((100 - percent) / (100 + percent))
+    lit = F.lit if of is F else float
+    one, two = of.pow(lit(1 - 2 / FINE), apart), of.pow(lit(1 - 4 / FINE), apart)
+    at = FINE / 2 * (1 - one)
+    by_cells = at + FINE * (FINE - 1) / 4 * (1 - 2 * one + two) - at * at
+    return of.ceil(at + SIGMAS * of.sqrt(of.abs(by_cells)) + 1)
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), band keys and odd sketch of every row."""
+    """doc_id, n_shingles, digest of the set (null if empty), odd sketch, fine sketch and band keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,17 +145,26 @@ def profile(docs: DataFrame) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         listed(odd_sketches(m)),
+                        listed(fine_sketches(sets)),
                         listed(X.as_long(band_keys(m))),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "sketch", "bands"],
+                    names=["doc_id", "n_shingles", "digest", "sketch", "fine", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>, fine array<long>, bands array<long>")
 
 
-def ones(a: Column, b: Column) -> Column:
+def ones(a: Column, b: Column, bits: int) -> Column:
     """Population count of the XOR of two sketches."""
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH // 64)), F.lit(0))
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(bits // 64)), F.lit(0))
+
+
+def _near(pairs: DataFrame, classes: DataFrame, sketch: str, bits: int, limit: Column, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and sketches allow the threshold, and their number of odd cells."""
+    own = classes.select("node", "n_shingles", sketch)
+    ends = [own.select(F.col("node").alias(e), F.col("n_shingles").alias(f"n{e}"), F.col(sketch).alias(f"s{e}")) for e in "ab"]
+    joined = pairs.select("a", "b").join(ends[0], "a").join(ends[1], "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return joined.withColumn("ones", ones(F.col("sa"), F.col("sb"), bits)).where(F.col("ones") <= limit).select("a", "b", "ones")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -131,7 +176,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 sets = [s.tobytes() for s in shingle_sets(X.words(data, offs, X.SPACE, True))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
-    wanted = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    wanted = semi_join(docs.select("doc_id", "text"), nodes.select(F.col("node").alias("doc_id")), "doc_id")
     return wanted.mapInArrow(run, "node long, hashes binary")
 
 
@@ -158,8 +203,11 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.where("coalesce(ca, a) <> coalesce(cb, b)").drop("ca", "cb")
 
 
-def _rest(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components in one bucket, of which neither end is the bucket's centre."""
+def _rest(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Candidate pairs (a, b) of different components in one bucket, of which neither end is the bucket's centre.
+
+    best: of every block only the nearest of each node.
+    """
     limit = most_ones(percent)
     at = labels.select(F.col("node").alias("node"), "component")
     here = buckets.where("size > 2 and node <> centre").join(at, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
@@ -170,7 +218,7 @@ def _rest(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: in
     counts = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n0"), F.sum("n").alias("n1"))
     side = F.lit(SIDE)
     counts = counts.select("bucket", "main", F.ceil(F.col("n0") / side).cast("int").alias("b0"), F.ceil((F.col("n1") - F.col("n0")) / side).cast("int").alias("b1"))
-    here = here.join(counts, "bucket").join(classes.select("node", "n_shingles", "sketch"), "node")
+    here = here.join(counts, "bucket").join(classes.select("node", "n_shingles", "sketch", "fine"), "node")
     main = F.col("component") == F.col("main")
     block = F.pmod(F.xxhash64("node"), F.when(main, F.col("b0")).otherwise(F.col("b1"))).cast("int")
     here = here.withColumn("role", F.when(main, 0).otherwise(1)).withColumn("block", block)
@@ -180,20 +228,25 @@ def _rest(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: in
     keys = F.when(main, F.transform(others, lambda j: key(0, F.col("block"), j))).otherwise(
         F.concat(F.transform(mains, lambda i: key(0, i, F.col("block"))), F.transform(others, lambda j: key(1, F.least(j, F.col("block")), F.greatest(j, F.col("block")))))
     )
-    dealt = here.select("bucket", F.explode(keys).alias("k"), "node", "component", "n_shingles", "sketch", "role", "block")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        node, comp, n = (frame[c].to_numpy() for c in ("node", "component", "n_shingles"))
-        bits = np.stack(frame["sketch"].to_numpy()).view(np.uint64)
-        found = []
-        for i in range(len(node) - 1):
-            apart = (comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
-            j = np.flatnonzero(apart) + i + 1
-            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= limit]
-            found += [(min(node[i], node[k]), max(node[i], node[k])) for k in j]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("bucket", "k").applyInPandas(compare, "a long, b long").distinct()
+    dealt = here.select("bucket", F.explode(keys).alias("k"), "node", "component", "n_shingles", "sketch", "fine")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, comp, n = (table[c].to_numpy() for c in ("node", "component", "n_shingles"))
+        bits, fine = (table[c].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1) for c in ("sketch", "fine"))
+        few, many = np.minimum.outer(n, n), np.maximum.outer(n, n)
+        i, j = np.nonzero(np.triu(np.not_equal.outer(comp, comp) & (100 * few >= percent * many), 1))
+        near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= limit
+        i, j = i[near], j[near]
+        odd = np.bitwise_count(fine[i] ^ fine[j]).sum(axis=1, dtype=np.int64)
+        near = odd <= most_fine_ones(n[i] + n[j], percent)
+        i, j, odd = i[near], j[near], odd[near]
+        if best:
+            order = np.lexsort((odd, i))
+            order = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+            i, j = i[order], j[order]
+        return pa.table({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+
+    return dealt.groupBy("bucket", "k").applyInArrow(compare, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -208,39 +261,48 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     s = Scratch(spark)
     profiles = s.settle(profile(docs), "profiles")
     real = profiles.where("digest is not null and doc_id is not null")
-    # one row per distinct set; bands and sketches of equal sets are equal
-    classes = real.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    # one row per distinct set; what else the rows of equal sets have is equal
+    classes = real.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "fine", "bands")))
     classes = s.settle(classes, "classes")
     members = classes.select("node", F.explode("bands").alias("bucket"))
     centres = members.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("centre"), F.count("*").alias("size")).where("size > 1")
     buckets = s.settle(members.join(centres, "bucket"), "buckets")
     pairs = buckets.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    sketched = classes.select("node", "n_shingles", "sketch")
-    ends = [sketched.select(F.col("node").alias(e), F.col("n_shingles").alias(f"n{e}"), F.col("sketch").alias(f"s{e}")) for e in "ab"]
-    pairs = pairs.join(ends[0], "a").join(ends[1], "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    pairs = pairs.withColumn("ones", ones(F.col("sa"), F.col("sb"))).where(F.col("ones") <= most_ones(percent)).select("a", "b", "ones")
-    pairs = s.settle(pairs, "pairs")
-    s.drop()
+    pairs = s.settle(_near(pairs, classes, "sketch", SKETCH, F.lit(most_ones(percent)), percent), "pairs")
+    pairs, old = s.settle(_near(pairs, classes, "fine", FINE, most_fine_ones(F.col("na") + F.col("nb"), percent, F), percent), "pairs"), pairs
+    s.drop(old)
     sets = s.settle(_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), "sets")
-    s.drop()
-    best = pairs.groupBy("a").agg(F.min_by("b", F.struct("ones", "b")).alias("b"))
-    links = s.settle(_verified(best, sets, percent), "links")
-    labels = components(links, s)
-    more = s.settle(_verified(_apart(pairs, labels), sets, percent), "links")
-    if not more.isEmpty():
-        labels, old = components(links.union(more), s), labels
-        s.drop(old)
-    rest = s.settle(_rest(buckets, labels, classes, percent), "rest")
-    if not rest.isEmpty():
+    links = s.settle(_verified(pairs.groupBy("a").agg(F.min_by("b", F.struct("ones", "b")).alias("b")), sets, percent), "links")
+    labels, used = components(links, s), [buckets, pairs, sets, links]
+
+    def more(candidates: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+        """The labels after the candidates' links."""
+        new = s.settle(_verified(candidates, sets, percent), "links")
+        used.append(new)
+        if new.isEmpty():
+            return labels
+        # only what is joined anew is worked on: components of components
+        at_a, at_b = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        ends = new.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        over = components(ends, s)
+        joined = labels.join(over.select(F.col("node").alias("component"), F.col("component").alias("over")), "component", "left")
+        fresh = over.join(labels.select("node"), "node", "left_anti")
+        out = s.settle(joined.select("node", F.coalesce("over", "component").alias("component")).union(fresh), "labels")
+        s.drop(over, labels)
+        return out
+
+    labels = more(_apart(pairs, labels), sets, labels)
+    for best in (True, False):
+        rest = s.settle(_rest(buckets, labels, classes, percent, best), "rest")
+        used.append(rest)
+        if rest.isEmpty():
+            break
         ends = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct().join(sets.select("node"), "node", "left_anti")
         others = s.settle(_sets(docs, ends), "sets")
-        last = s.settle(_verified(rest, sets.union(others), percent), "links")
-        s.drop(others)
-        if not last.isEmpty():
-            labels, old = components(links.union(more).union(last), s), labels
-            s.drop(old)
-        s.drop(last)
-    s.drop(sets, buckets, pairs, links, more, rest)
+        used.append(others)
+        sets = sets.union(others)
+        labels = more(rest, sets, labels)
+    s.drop(*used)
     named = classes.select("digest", F.col("node").alias("class_id")).join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     named = named.select("digest", F.coalesce("component", "class_id").alias("component"))
     out = profiles.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
@@ -250,5 +312,5 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents without near copies: one of each group stays, that with the smallest doc_id (the rows of one doc_id alike)."""
-    gone = groups(docs, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = settle(groups(docs, percent).where("not kept").select("doc_id").distinct(), "gone")
+    return anti_join(docs, gone, "doc_id")

@@ -82,11 +82,15 @@ def split(wide: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFra
 
 
 def semi_join(wide: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """The rows of ``wide`` whose key is among ``keys``; of the others, few are shuffled."""
-    return split(wide, keys, on)[0].join(keys.select(on).distinct(), on, "left_semi")
+    """The rows of ``wide`` whose key is among ``keys``; of the others, few are shuffled.
+
+    The joins here are an inner and an outer one: semi and anti joins would be moved below the filter that is to come first.
+    """
+    return split(wide, keys, on)[0].join(keys.select(on).distinct(), on).select(wide.columns)
 
 
 def anti_join(wide: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """The rows of ``wide`` whose key isn't among ``keys``; of these, few are shuffled."""
     maybe, surely_not = split(wide, keys, on)
-    return surely_not.unionByName(maybe.join(keys.select(on).distinct(), on, "left_anti").select(wide.columns))
+    marked = maybe.join(keys.select(on).distinct().withColumn("_there", F.lit(True)), on, "left")
+    return surely_not.unionByName(marked.where("_there is null").select(wide.columns))

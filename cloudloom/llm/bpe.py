@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .storage import small_batches
 from .textops import blocks
 
 #: Distinct pre-tokens that a worker remembers; the memory is emptied when full.
@@ -136,6 +137,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "t
     dropped and no text cut; rows are independent, so repeats and ties need no rule and no shuffle is made.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     # the vocabulary's size is fixed (some 50,000 tokens), so that the model is a bounded broadcast
     serialised = serialise(read_ranks(vocabulary))
     key, model = digest(serialised + pattern.encode()), spark.sparkContext.broadcast(serialised)

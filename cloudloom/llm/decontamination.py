@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as X
+from .storage import small_batches
 
 WINDOW = 10
 SHINGLE = 3
@@ -198,6 +199,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     replaced. Null and empty texts have no words. Items with a null id or text are left out; equal ids count once. With no
     items nothing is hit. Repeated documents are judged row by row; no shuffle of documents is made.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(*(f.name for f in NEW), "_spans", "_items")
     tables = [window_table(items, size) for items in _blocks(benchmark)]
     for k, table in enumerate(tables):

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textops as X
+from .storage import small_batches
 
 #: Elements whose text is never rendered.
 SILENT = {"script", "style", "noscript", "template", "head", "svg", "iframe", "object", "textarea", "select", "canvas", "math"}
@@ -354,6 +355,7 @@ def extract(pages: DataFrame, chain: Chain, html: str = "html", column: str = "t
 
     Rows are independent: repeats and ties need no rule. An input column named like ``column`` is replaced.
     """
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(chain)  # a few hundred weights
     pages = pages.drop(column) if column != html else pages
     names = [*pages.columns, column]

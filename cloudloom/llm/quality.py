@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from . import textops as X
 from .labelled import held_out, sample
+from .storage import small_batches
 
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 6, 24, 16
 CHUNK = 256
@@ -169,6 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Wei
 
 def score(docs: DataFrame, weights: Weights, column: str = "score") -> DataFrame:
     """Adds the probability of label 1 to every row, from the whole text alone. Null counts as empty; an empty text has a score."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # some 40 KB, whatever the input
     docs = docs.drop(column)
     at, names = docs.columns.index("text"), [*docs.columns, column]

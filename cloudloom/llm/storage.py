@@ -39,11 +39,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of rows that are handed to Python at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on Arrow batches: their buffers lie outside the heap, twice for each task, and grow by doubling."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(str(spark.conf.get(key)).rstrip("b") or 0)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """The scratch tables of one operator call. What only later steps of the same call read is dropped by name."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
 
     def settle(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{root(self.spark)}/{name}-{uuid.uuid4().hex}"

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from . import textops as X
 from .labelled import held_out, sample
+from .storage import small_batches
 
 BITS = 20
 PLACES = 1 << BITS
@@ -168,6 +169,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Whole texts are read. Null counts as empty; an empty text is scored by the thresholds alone. Input columns of these names are
     replaced. Rows are independent: repeats and ties need no rule.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the input
     docs = docs.drop(*(f.name for f in NEW))
     at, names = docs.columns.index("text"), [*docs.columns, *(f.name for f in NEW)]

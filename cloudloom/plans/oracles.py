@@ -273,3 +273,12 @@ for _n in ("splats_bitcode", "splats_ply"):
 
 for _n in ("quantize", "snappy"):
     add(f"decode_roundtrip_{_n}", "points_ev", f"SELECT cloud_id, count(*) AS n, {each('min(%) AS min_%, max(%) AS max_%')}, CAST(sum(r) AS BIGINT) AS sum_r FROM t GROUP BY cloud_id", BOUNDS, codes(12, 8), test_cloud(12, 8))
+
+_v = "CASE WHEN idx % 7 = 0 THEN 0 ELSE CAST(scale_x AS DOUBLE) - 0.5::DOUBLE END"
+add("splat_from_shares", "splats_emb", f"SELECT cloud_id, idx, {BYTE(_v)} AS byte, r, g, b, a FROM p")
+ORACLES["array_chunks"] = "SELECT vec_id, CAST(len(embedding) // 4 AS INTEGER) AS n, place AS at, embedding[4 * place + 1] AS head, embedding[4 * place + 4] AS tail FROM (SELECT vec_id, embedding, unnest(range(len(embedding) // 4)) AS place FROM embeddings)"
+_props = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate([("x", "f4"), ("y", "f4"), ("z", "f4"), ("red", "u1"), ("green", "u1"), ("blue", "u1")]))
+add("ply_header", "points_ev", f"SELECT cloud_id, 'vertex' AS element, count(*) AS size, ordinal, property, type FROM p, (VALUES {_props}) v(ordinal, property, type) GROUP BY ALL")
+add("decode_lateral", "points_emb", "SELECT cloud_id, row_number() OVER (PARTITION BY cloud_id ORDER BY idx) - 1 AS idx, x, y, z, r, g, b FROM p")
+_labels = ", ".join(f"('{n}', '{'+'.join(chain(p)).lower()}', {len(chain(p)) > 1}, {chain(p)[-1] in ('PLY', 'Bitcode', 'GSP16')})" for n, p in CHAINS.items())
+ORACLES["codec_labels"] = f"SELECT * FROM (VALUES {_labels}) v(label, shown, wrapper, splats)"

@@ -249,6 +249,43 @@ def splat_normalised(spark, d):
     return s.select("cloud_id", "idx", *(r9(c).alias(f"q{n}") for c, n in zip(q, "wxyz", strict=True)), *(r9(c).alias(f"share_{n}") for c, n in zip(shares, "rgba", strict=True)))
 
 
+@query
+def splat_from_shares(spark, d):
+    """Colour shares of splats back to bytes, out-of-range and non-finite ones included."""
+    s = splats_emb(spark, d)
+    v = F.col("scale_x").cast("double") - F.lit(0.5)
+    v = F.when(F.col("idx") % 7 == 0, F.lit(float("nan"))).otherwise(v)
+    return s.select("cloud_id", "idx", splat.unit_to_u8(v).cast("int").alias("byte"), *(splat.unit_to_u8(F.col(c).cast("double") / F.lit(255.0)).cast("int").alias(c) for c in "rgba"))
+
+
+@query
+def array_chunks(spark, d):
+    """Flat arrays as rows of four."""
+    e = table(spark, d, "embeddings").select("vec_id", payloads.chunks("embedding", 4).alias("parts"))
+    return e.select("vec_id", F.size("parts").alias("n"), F.posexplode("parts").alias("at", "part")).select("vec_id", "n", F.col("at").cast("long").alias("at"), F.element_at("part", 1).alias("head"), F.element_at("part", -1).alias("tail"))
+
+
+@query
+def ply_header(spark, d):
+    coded = payloads.encode(points_ev(spark, d), P.Ply("Ascii", ascii_float_mode=3))
+    return payloads.ply_headers(coded).select("cloud_id", "element", "size", "ordinal", "property", "type")
+
+
+@query
+def decode_lateral(spark, d):
+    """The table function in SQL."""
+    payloads.register(spark)
+    payloads.encode(points_emb(spark, d), P.Bitcode()).createOrReplaceTempView("coded_clouds")
+    return spark.sql("SELECT cloud_id, p.idx, p.x, p.y, p.z, p.r, p.g, p.b FROM coded_clouds, LATERAL decode_payload(payload) p")
+
+
+@query
+def codec_labels(spark, d):
+    rows = [(name, P.chain(p), P.is_wrapper(p), P.holds(p, "splats")) for name, p in CHAINS.items()]
+    known = spark.createDataFrame(rows, "label string, chain array<string>, wrapper boolean, splats boolean")
+    return known.select("label", F.lower(F.array_join("chain", "+")).alias("shown"), "wrapper", "splats")
+
+
 @query
 def gsp_words(spark, d):
     """Record words with the position bits left at zero: half floats are made in the byte codec."""
@@ -337,7 +374,7 @@ def rgb_pack(spark, d):
     return packed.select("cloud_id", "idx", "packed", *(c.alias(n) for c, n in zip(back, "rgb", strict=True)))
 
 
-_CHAINS = {
+CHAINS = {
     "zstd+ply": P.Zstd(P.Ply(), 3), "ply": P.Ply(), "gzip+bitcode": P.Gzip(), "snappy+gzip+quantize": P.Snappy(P.Gzip(P.Quantize())),
     "lz4+sogp": P.Lz4(P.Sogp(compression="None")), "quantize": P.Quantize(), "gsp16": P.Gsplat16(), "sogp": P.Sogp(compression="None"), "bitcode": P.Bitcode(),
 }
@@ -346,7 +383,7 @@ _CHAINS = {
 @query
 def magic_sniff(spark, d):
     points = points_emb(spark, d)
-    parts = [payloads.encode(points, p).select("cloud_id", F.array_join("codec_chain", "+").alias("chain"), payloads.format_of(F.col("payload")).alias("format")) for p in _CHAINS.values()]
+    parts = [payloads.encode(points, p).select("cloud_id", F.array_join("codec_chain", "+").alias("chain"), payloads.format_of(F.col("payload")).alias("format")) for p in CHAINS.values()]
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
@@ -408,4 +445,3 @@ for _name, _params in [("splats_bitcode", P.Bitcode()), ("splats_ply", P.Ply()),
 
 #: Reference text of a header, which the oracle spells in SQL.
 HEADER = header_text("Ascii", [("x", "float"), ("y", "float"), ("z", "float"), ("red", "uchar"), ("green", "uchar"), ("blue", "uchar")], 0).split("element vertex 0")
-CHAINS = _CHAINS

@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import params as P
 from .. import schema
-from . import registry
+from . import ply, registry
 from .cloud import Cloud
 
 #: Records of one Arrow batch when a payload is decoded.
@@ -90,3 +90,37 @@ def chunks(array: str | Column, n: int) -> Column:
     parts = F.transform(F.sequence(F.lit(0), (F.size(a) / n).cast("int") - 1), lambda i: F.slice(a, i * n + 1, n))
     whole = F.when(F.size(a) == 0, F.slice(F.array(a), 1, 0)).otherwise(parts)
     return F.when(F.size(a) % n == 0, whole).otherwise(F.raise_error(F.lit(f"not a multiple of {n}")).cast("array<array<float>>"))
+
+
+def ply_headers(payloads: DataFrame) -> DataFrame:
+    """(cloud_id, element, size, ordinal, property, type, list_type) of PLY payloads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for e in ply.read_header(data.as_py()).elements:
+                    rows += [(name, e.name, e.size, i, p.name, p.kind, p.count) for i, p in enumerate(e.properties)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_HEADER.replace(" long", "").replace(" int", "").replace(" string", "").split(", "))
+
+    return payloads.select("cloud_id", "payload").mapInArrow(run, _HEADER)
+
+
+_HEADER = "cloud_id string, element string, size long, ordinal int, property string, type string, list_type string"
+
+
+class DecodePayload:
+    """Table function: the records of one payload, for use in SQL with LATERAL."""
+
+    def eval(self, payload: bytes):
+        if payload is not None:
+            cloud = registry.decode(bytes(payload)).as_kind("points")
+            for i, (p, c) in enumerate(zip(cloud.xyz.tolist(), cloud.rgb.tolist(), strict=True)):
+                yield (i, *map(float, p), *c)
+
+
+def register(spark: SparkSession) -> None:
+    """``SELECT * FROM payloads, LATERAL decode_payload(payload)``."""
+    spark.udtf.register("decode_payload", F.udtf(DecodePayload, returnType="idx long, x float, y float, z float, r int, g int, b int"))

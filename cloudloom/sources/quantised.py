@@ -46,12 +46,13 @@ def bin_of(rgb: np.ndarray, g: int) -> np.ndarray:
     return top[:, 0] | top[:, 1] << g | top[:, 2] << 2 * g
 
 
-def palette_of(rgb: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def palette_of(rgb: np.ndarray, cap: int, compat: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries (k, 3), their bins, and the entry of every record.
 
     The fullest bins make the palette (ties: smaller bin), each by its rounded mean colour. A record of another bin takes the entry
     that is nearest to the first colour of its bin within two bins around, the closest shell first; where there is none, the entry whose bin
-    centre is nearest.
+    centre is nearest. compat: bins are decided in the order in which they are first met, and one that is decided counts as a bin of its entry
+    for those after it.
     """
     g = grid_bits(cap)
     where = bin_of(rgb, g)
@@ -65,7 +66,8 @@ def palette_of(rgb: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.nd
     axes = lambda b: np.stack([b & (1 << g) - 1, b >> g & (1 << g) - 1, b >> 2 * g], axis=-1)
     centres = (axes(bins[order]) << (8 - g)) + (1 << (7 - g))
     around = [(dr, dg, db) for dr in range(-2, 3) for dg in range(-2, 3) for db in range(-2, 3)]
-    for i in np.flatnonzero(chosen < 0):
+    missed = np.flatnonzero(chosen < 0)
+    for i in missed[np.argsort(first[missed])]:
         colour, own = rgb[first[i]].astype(np.int64), axes(bins[i])
         best = None
         for k, step in enumerate(around):
@@ -77,6 +79,8 @@ def palette_of(rgb: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.nd
                 far = int(((entries[entry].astype(np.int64) - colour) ** 2).sum())
                 best = min(best or (9,), (max(map(abs, step)), far, k, int(entry)))
         chosen[i] = best[3] if best else int(((centres - colour) ** 2).sum(1).argmin())
+        if compat:
+            slot[bins[i]] = chosen[i]
     return entries, bins[order], chosen[at]
 
 

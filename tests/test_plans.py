@@ -185,6 +185,24 @@ def test_sweep(spark, clouds, tmp_path):
             sweep.read_config(bad)
 
 
+def test_command_line(spark, clouds, tmp_path):
+    from cloudloom.__main__ import main
+
+    files.write_payloads(payloads.encode(clouds, P.Ply()), str(tmp_path / "in"))
+    main(["transcode", str(tmp_path / "in"), str(tmp_path / "out"), "--codec", "gzip", "--percentages", "50,50"])
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.endswith(".gzip+bitcode")]) == 6
+    (tmp_path / "c.toml").write_text(CONFIG.replace('roots = ["x"]', f'roots = ["{tmp_path / "in"}"]'))
+    main(["bench", str(tmp_path / "c.toml"), "--out", str(tmp_path / "o.csv")])
+    assert (tmp_path / "o.csv.txt").read_text().count("sweep_name") == 2
+
+
+def test_palette_compat():
+    rgb = np.random.default_rng(4).integers(0, 256, (500, 3)).astype(np.uint8)
+    for compat in (False, True):
+        entries, _, index = palette_of(rgb, 12, compat)
+        assert len(entries) == 12 and index.min() >= 0 and index.max() < 12
+
+
 def test_streamed_frames(spark, clouds, tmp_path):
     from cloudloom.streaming import frames
 

@@ -4,8 +4,8 @@ A document's features are its distinct lower-cased words and their beginnings (s
 that two different words share, hashed to 2^20 places. One weight vector w is shared by all ordered thresholds
 t1 < t2 < ...: P(grade > k) = sigmoid(w.x - t_{k+1}). The severity is the expected grade, the sum of these probabilities.
 
-Labels that are graded (0, 1, 2, ...) are used as they are. Labels of two values are graded first: of the toxic documents, the share of words
-that tell the classes apart puts each into the lower, middle or upper third (grades 1 to 3).
+Labels that are graded (0, 1, 2, ...) are used as they are. Labels of two values are graded first: of the toxic documents, the number of
+distinct words that tell the classes apart puts each into the lower, middle or upper third (grades 1 to 3).
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ PLACES = 1 << BITS
 #: Bytes of the word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7, 8, 9, 10, 12)
 #: Learning reads at most this many labelled documents of each class, and this many code points of each.
-PER_CLASS, CHARS = 2000, 20_000
+PER_CLASS, CHARS = 1500, 6000
 #: Features that are weighed: those that tell the classes apart best, of those in at least MIN_DOCS documents.
 CHOSEN, MIN_DOCS = 1500, 4
-STEPS, PENALTY = 300, 0.0005
+STEPS, PENALTY = 300, 0.001
+#: What tells the classes apart less than this is penalised more, and the other way round: rare words of single documents stay small.
+TELLING, POWER = 100.0, 1.0
 #: A document counts as toxic from this P(grade > 0) on: a missed one costs more than a false alarm.
-DECISION = 0.25
+DECISION = 0.2
 
 Model = dict[str, np.ndarray]
 
@@ -74,8 +76,8 @@ def shared_place(place: np.ndarray) -> np.ndarray:
     return (place * 0x2545F491 + 0x1337) % PLACES
 
 
-def _grades(y: np.ndarray, row: np.ndarray, place: np.ndarray, data: np.ndarray, words: X.Words) -> tuple[np.ndarray, np.ndarray]:
-    """The chosen places, and the grades of binary labels."""
+def _grades(y: np.ndarray, row: np.ndarray, place: np.ndarray, data: np.ndarray, words: X.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chosen places, how well each tells the classes apart, and the grades of binary labels."""
     toxic = y > 0
     inside = np.bincount(place[toxic[row]], minlength=PLACES)
     outside = np.bincount(place[~toxic[row]], minlength=PLACES)
@@ -88,15 +90,16 @@ def _grades(y: np.ndarray, row: np.ndarray, place: np.ndarray, data: np.ndarray,
     chosen = np.argsort(-apart, kind="stable")[:CHOSEN]
     chosen = np.sort(chosen[apart[chosen] > 0])
     if len(np.unique(y)) > 2 or not toxic.any():
-        return chosen, y
+        return chosen, apart[chosen], y
     telling = np.zeros(PLACES + 1, bool)  # the last: no place
     odds = np.log((inside + 0.5) / (n1 + 1)) - np.log((outside + 0.5) / (n0 + 1))
     telling[chosen[(odds[chosen] > np.log(4)) & (apart[chosen] > 10)]] = True
     hit = telling[_places(data, words)].any(axis=0)
-    hits = np.bincount(np.repeat(np.arange(len(y)), np.diff(words.ptr))[hit], minlength=len(y))
-    density = hits / np.maximum(np.diff(words.ptr), 1)
-    cuts = np.quantile(density[toxic], [1 / 3, 2 / 3])
-    return chosen, np.where(toxic, 1 + np.searchsorted(cuts, density, "left"), 0)
+    row_of = np.repeat(np.arange(len(y)), np.diff(words.ptr))[hit]
+    # distinct ones: the features are presences too, so that more of them can mean a higher grade
+    hits = np.bincount(np.divmod(np.unique(row_of * PLACES + (words.hashes[hit] >> np.uint64(64 - BITS)).astype(np.int64)), PLACES)[0], minlength=len(y))
+    cuts = np.quantile(hits[toxic], [1 / 3, 2 / 3])
+    return chosen, apart[chosen], np.where(toxic, 1 + np.searchsorted(cuts, hits, "left"), 0)
 
 
 def learn(rows: list[tuple[int, str]], prior: float) -> Model:
@@ -110,7 +113,7 @@ def learn(rows: list[tuple[int, str]], prior: float) -> Model:
     prior = min(max(prior, 0.01), 0.99)
     if len(np.unique(y)) < 2:
         return {"weights": weights, "thresholds": np.array([np.log(prior / (1 - prior))])}
-    chosen, grade = _grades(y, row, place, data, words)
+    chosen, apart, grade = _grades(y, row, place, data, words)
     index = np.full(PLACES, -1)
     index[chosen] = np.arange(len(chosen))
     x = np.zeros((len(y), len(chosen)), np.float32)
@@ -133,7 +136,7 @@ def learn(rows: list[tuple[int, str]], prior: float) -> Model:
         d[np.arange(len(y)), grade + 1] = -s[np.arange(len(y)), grade + 1] / mass
         d = d[:, 1:-1] / len(y)
         by_cut = -d.sum(0)
-        grads = (-(x.T @ d.sum(1)) + PENALTY * w, -by_cut.sum(keepdims=True), -np.cumsum(by_cut[::-1])[::-1][1:] * gaps)
+        grads = (-(x.T @ d.sum(1)) + PENALTY * (TELLING / apart) ** POWER * w, -by_cut.sum(keepdims=True), -np.cumsum(by_cut[::-1])[::-1][1:] * gaps)
         for (value, m, v), g in zip(state, grads, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)

@@ -22,7 +22,7 @@ from .storage import small_batches
 from .textops import blocks
 
 #: Distinct pre-tokens that a worker remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Pre-tokens that are held as Python strings at once.
 SLICE = 200_000
 

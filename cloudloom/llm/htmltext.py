@@ -11,6 +11,7 @@ adverts, forms and comments in varied mark-up, whose labels are known by constru
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import random
 import re
@@ -341,7 +342,9 @@ def labelled_pages(n: int, seed: int = 2) -> Iterator[tuple[str, list[int]]]:
         yield page.replace(MARK, ""), [int(MARK in text) for text, _, _ in leaf_blocks(page)]
 
 
+@functools.lru_cache(4)
 def trained(n: int = 500) -> Chain:
+    """The chain learnt from ``n`` composed pages; the same on every call, and learnt once in a process."""
     return learn([(featurise(leaf_blocks(page)), labels) for page, labels in labelled_pages(n)])
 
 

@@ -154,7 +154,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
     rows = s.settle(usable(vectors, key, vector), "vectors")
     context = vectors.sparkSession.sparkContext
     out = "query_id long, rank int, vec_id long, score double"
-    some = rows.orderBy(F.xxhash64("id", "v")).limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    # a share of the rows by hash, so that a few more than the sample are sorted, and not all of every partition
+    share = int(min(1.0, 1.2 * SAMPLE / max(rows.count(), 1)) * (1 << 30))
+    drawn = rows.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < share)
+    some = drawn.orderBy(F.xxhash64("id", "v")).limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
     if not len(some):
         return vectors.sparkSession.createDataFrame([], out)
     tree = fit(_matrix(some))

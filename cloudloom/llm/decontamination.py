@@ -24,7 +24,7 @@ from .storage import small_batches
 WINDOW = 10
 SHINGLE = 3
 #: Bytes of item text in one block: a block's windows are broadcast; more items make more blocks, each a pass.
-BLOCK = 16 << 20
+BLOCK = 2 << 20
 
 NEW = [
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),

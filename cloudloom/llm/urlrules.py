@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rules in one block: the bound on what is shipped to the executors at once.
-BLOCK_RULES = 200_000
+BLOCK_RULES = 50_000
 #: A verdict for what no rule fits.
 DEFAULT = "allow"
 

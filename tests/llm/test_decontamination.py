@@ -37,7 +37,7 @@ def result(df):
 ITEMS = [(1, "One, two three. FOUR five six seven eight nine ten eleven"), (10, "single"), (2, "and again"), (3, None), (None, "single"), (4, "..."), (5, "Z\u00fcrich wort\u00e4r"), (10, "seven eight nine"), (2, "and again")]
 
 
-@pytest.mark.parametrize("block", [16 << 20, 20])
+@pytest.mark.parametrize("block", [2 << 20, 20])
 def test_against_brute_force(spark, weird, monkeypatch, block):
     """Also with so small blocks that the benchmark takes several passes."""
     monkeypatch.setattr(D, "BLOCK", block)

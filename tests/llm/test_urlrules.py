@@ -22,7 +22,7 @@ def plain(url, rules, default="allow"):
 
 
 def test_against_plain_rules(spark, monkeypatch):
-    for block in (200_000, 2):
+    for block in (50_000, 2):
         monkeypatch.setattr(U, "BLOCK_RULES", block)
         df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(0, URLS[0], None)], "page_id long, url string, rule string").repartition(3)
         got = U.judge(df, RULES)

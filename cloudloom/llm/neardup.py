@@ -263,21 +263,23 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     real = profiles.where("digest is not null and doc_id is not null")
     # one row per distinct set; what else the rows of equal sets have is equal
     classes = real.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "fine", "bands")))
-    classes = s.settle(classes, "classes")
+    n = profiles.count()
+    classes = s.settle(classes, "classes", n, 20_000)
     members = classes.select("node", F.explode("bands").alias("bucket"))
     centres = members.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("centre"), F.count("*").alias("size")).where("size > 1")
-    buckets = s.settle(members.join(centres, "bucket"), "buckets")
+    buckets = s.settle(members.join(centres, "bucket"), "buckets", BANDS * n)
+    m = buckets.count()
     pairs = buckets.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    pairs = s.settle(_near(pairs, classes, "sketch", SKETCH, F.lit(most_ones(percent)), percent), "pairs")
-    pairs, old = s.settle(_near(pairs, classes, "fine", FINE, most_fine_ones(F.col("na") + F.col("nb"), percent, F), percent), "pairs"), pairs
+    pairs = s.settle(_near(pairs, classes, "sketch", SKETCH, F.lit(most_ones(percent)), percent), "pairs", m)
+    pairs, old = s.settle(_near(pairs, classes, "fine", FINE, most_fine_ones(F.col("na") + F.col("nb"), percent, F), percent), "pairs", m), pairs
     s.drop(old)
-    sets = s.settle(_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), "sets")
-    links = s.settle(_verified(pairs.groupBy("a").agg(F.min_by("b", F.struct("ones", "b")).alias("b")), sets, percent), "links")
+    sets = s.settle(_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), "sets", min(n, 2 * pairs.count()), 5000)
+    links = s.settle(_verified(pairs.groupBy("a").agg(F.min_by("b", F.struct("ones", "b")).alias("b")), sets, percent), "links", n, 10_000)
     labels, used = components(links, s), [buckets, pairs, sets, links]
 
     def more(candidates: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
         """The labels after the candidates' links."""
-        new = s.settle(_verified(candidates, sets, percent), "links")
+        new = s.settle(_verified(candidates, sets, percent), "links", m, 20_000)
         used.append(new)
         if new.isEmpty():
             return labels
@@ -287,18 +289,18 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         over = components(ends, s)
         joined = labels.join(over.select(F.col("node").alias("component"), F.col("component").alias("over")), "component", "left")
         fresh = over.join(labels.select("node"), "node", "left_anti")
-        out = s.settle(joined.select("node", F.coalesce("over", "component").alias("component")).union(fresh), "labels")
+        out = s.settle(joined.select("node", F.coalesce("over", "component").alias("component")).union(fresh), "labels", n)
         s.drop(over, labels)
         return out
 
     labels = more(_apart(pairs, labels), sets, labels)
     for best in (True, False):
-        rest = s.settle(_rest(buckets, labels, classes, percent, best), "rest")
+        rest = s.settle(_rest(buckets, labels, classes, percent, best), "rest", m)
         used.append(rest)
         if rest.isEmpty():
             break
         ends = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct().join(sets.select("node"), "node", "left_anti")
-        others = s.settle(_sets(docs, ends), "sets")
+        others = s.settle(_sets(docs, ends), "sets", min(n, 2 * rest.count()), 5000)
         used.append(others)
         sets = sets.union(others)
         labels = more(rest, sets, labels)

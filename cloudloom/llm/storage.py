@@ -58,7 +58,11 @@ class Scratch:
         self.spark = spark
         small_batches(spark)
 
-    def settle(self, df: DataFrame, name: str) -> DataFrame:
+    def settle(self, df: DataFrame, name: str, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
+        """Write and read back. With a bound on its rows, a table has no more files than they need: small ones aren't spread over
+        as many files as there are shuffle partitions, each of which costs the file system several calls."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // per_file)))
         path = f"{root(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -268,13 +268,14 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     docs = docs.drop(*(f.name for f in NEW), "_spans")
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     marked = s.settle(marks(texts, span), "marks")
+    n = marked.count()
     firsts = marked.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("print", "first")
-    copies = s.settle(marked.select("print", "doc_id").join(firsts, "print").where("doc_id > first").select("doc_id").distinct(), "copies")
+    copies = s.settle(marked.select("print", "doc_id").join(firsts, "print").where("doc_id > first").select("doc_id").distinct(), "copies", n)
     single = anti_join(marked, copies, "doc_id")
     anchors = single.select("doc_id", F.explode(F.arrays_zip("anchors", "words")).alias("a")).select("doc_id", F.col("a.anchors").alias("anchor"), F.col("a.words").alias("word"))
     repeated = s.settle(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     s.drop()
-    wanted = s.settle(semi_join(anchors, repeated, "anchor").groupBy("doc_id").agg(F.collect_list("word").alias("at")), "wanted")
+    wanted = s.settle(semi_join(anchors, repeated, "anchor").groupBy("doc_id").agg(F.collect_list("word").alias("at")), "wanted", n, 10_000)
     s.drop(marked, repeated)
     windows = s.settle(candidates(texts, wanted, span), "windows")
     s.drop(wanted)
@@ -286,14 +287,14 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     repeats = later.groupBy("doc_id").agg(F.collect_list(F.struct("p", "ref", "at")).alias("found"))
     asked = later.select("ref", F.floor(F.col("at") / SHARD).cast("int").alias("shard")).distinct()
     asked = asked.groupBy(F.col("ref").alias("doc_id")).agg(F.collect_list("shard").alias("shards"))
-    repeats, asked = s.settle(repeats, "repeats"), s.settle(asked, "asked")
+    repeats, asked = s.settle(repeats, "repeats", n, 5000), s.settle(asked, "asked", n, 20_000)
     s.drop(later)
     streams, references = s.settle(runs(texts, repeats, span), "runs"), s.settle(shards(texts, asked, span), "shards")
     s.drop(repeats, asked)
     found = spans(streams.join(references, ["ref", "shard"]), span)
     whole = copies.select("doc_id", F.lit(-1).alias("lo"), F.lit(0).alias("hi"))
     found = found.unionByName(whole).groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias("_spans"))
-    found = s.settle(found, "spans")
+    found = s.settle(found, "spans", n, 20_000)
     s.drop(streams, references, copies)
     touched, untouched = split(docs, found, "doc_id")
     touched = touched.join(found, "doc_id", "left").select(*docs.columns, "_spans")

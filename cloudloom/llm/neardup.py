@@ -270,16 +270,16 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = s.settle(members.join(centres, "bucket"), "buckets", BANDS * n)
     m = buckets.count()
     pairs = buckets.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    pairs = s.settle(_near(pairs, classes, "sketch", SKETCH, F.lit(most_ones(percent)), percent), "pairs", m)
-    pairs, old = s.settle(_near(pairs, classes, "fine", FINE, most_fine_ones(F.col("na") + F.col("nb"), percent, F), percent), "pairs", m), pairs
+    pairs = s.settle(_near(pairs, classes, "sketch", SKETCH, F.lit(most_ones(percent)), percent), "pairs", m, 40_000)
+    pairs, old = s.settle(_near(pairs, classes, "fine", FINE, most_fine_ones(F.col("na") + F.col("nb"), percent, F), percent), "pairs", m, 20_000), pairs
     s.drop(old)
     sets = s.settle(_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), "sets", min(n, 2 * pairs.count()), 5000)
-    links = s.settle(_verified(pairs.groupBy("a").agg(F.min_by("b", F.struct("ones", "b")).alias("b")), sets, percent), "links", n, 10_000)
+    links = s.settle(_verified(pairs.groupBy("a").agg(F.min_by("b", F.struct("ones", "b")).alias("b")), sets, percent), "links", n, 4000)
     labels, used = components(links, s), [buckets, pairs, sets, links]
 
     def more(candidates: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
         """The labels after the candidates' links."""
-        new = s.settle(_verified(candidates, sets, percent), "links", m, 20_000)
+        new = s.settle(_verified(candidates, sets, percent), "links", m, 8000)
         used.append(new)
         if new.isEmpty():
             return labels

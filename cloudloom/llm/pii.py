@@ -42,8 +42,8 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: What is looked for, in order of preference where candidates begin at the same place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
-    "secret": r"\b(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.=-]{8,200}",
-    "key": r"\b(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})\b",
+    "secret": r"\b(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.=-]{8,}+",
+    "key": r"\b(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "mac": r"\b[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}\b",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)",
@@ -120,7 +120,7 @@ def classify(e: Column) -> Column:
     return out
 
 
-SECRET_VALUE = r"^.*?[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{8,200})$"
+SECRET_VALUE = r"^[^=:]*[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{8,}+)$"
 NAME_PARTS = rf"^({_TITLE})\.? (.*)$"
 
 

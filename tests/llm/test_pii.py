@@ -68,3 +68,22 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, TEXTS[0])], "doc_id long, text string")
     plan = pii.replace(df, "k")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_long_secrets(spark):
+    """Values of any length are replaced from their first to their last character."""
+    cycle = "q7Zx-Kw_3.Rt/9+V="
+    long = lambda n: (cycle * (n // len(cycle) + 1))[:n]
+    values = [long(n) for n in (8, 200, 201, 600, 5000)] + ["0a1b2c3d" * 75]
+    keys = ["sk-" + "aB3" * n for n in (21, 22, 200)]
+    rows = [(i, f"token={v} end") for i, v in enumerate(values)] + [(100 + i, f"use {k}, please") for i, k in enumerate(keys)] + [(200, f"secret\n= '{long(300)}'")]
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert all(r.n_entities == 1 for r in got.values())
+    for i, v in enumerate(values):
+        new = re.fullmatch(r"token=(\S+) end", got[i].text)[1]
+        assert len(new) == len(v) and not any(v[j : j + 8] in new for j in range(len(v) - 7))
+    for i, k in enumerate(keys):
+        new = re.fullmatch(r"use (\S+), please", got[100 + i].text)[1]
+        assert len(new) == len(k) and not any(k[j : j + 8] in new for j in range(len(k) - 7))
+    new = re.fullmatch(r"secret\n= '(\S+)'", got[200].text)[1]
+    assert len(new) == 300 and not any(long(300)[j : j + 8] in new for j in range(293))

@@ -38,6 +38,18 @@ SYLLABLES = {
 ENDINGS = {("f", "latin"): "en", ("m", "latin"): "en", ("f", "cyrillic"): "ова", ("m", "cyrillic"): "ов"}
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 
+#: Lower-case words that belong to the capitalised word after them: these anywhere in a name, articles only at its begin or after these.
+_ARTICLES = "der|den|dem|het|'t|\u2019t|zu|zum|zur|la|las|los|le|lo"
+_PARTICLES = rf"(?:van|von und zu|von|vom|de|del|della|di|da|do|dos|du|des|ter|ten|te|af|av|bin|bint|ibn|ben|al|el|y|e|St\.|Ste\.)(?: (?:{_ARTICLES}))?"
+#: Kept with the title.
+_DEGREES = r"(?:(?:Dr|Prof)\.? ){0,3}"
+#: What follows a capital inside a word: letters, and hyphens and apostrophes with what they join, but no English clitics.
+_JOINED = r"(?:['\u2019\u2010\u2011-](?!(?i:s|d|ll|ve|re|m)(?![\p{L}\p{M}]))[\p{L}\p{M}]++)"
+_WORD = rf"(?:(?:d|l|dell|dall|t|o)['\u2019]|(?:al|el|ad|as|an|ar|ul|ibn|ben|bin|abd)-)?\p{{Lu}}(?:[\p{{L}}\p{{M}}]++{_JOINED}*+|{_JOINED}++)"
+#: A part of a name: initials, particles, and a word. A further part is no other title and no "Jr".
+_PART = r"(?:\p{{Lu}}(?:\.[ -]?| )){{0,6}}(?:" + _PARTICLES.replace("{", "{{").replace("}", "}}") + r" ){{0,3}}{stop}" + _WORD.replace("{", "{{").replace("}", "}}")
+_STOP = rf"(?!(?:{_TITLE}|Jr|Jnr|II|III|IV)(?![\p{{L}}\p{{N}}]))"
+
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: What is looked for, in order of preference where candidates begin at the same place.
 PATTERNS = {
@@ -50,7 +62,7 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?:[ -](?!(?:{_TITLE})\b)\p{{Lu}}\p{{Ll}}{{1,30}})?(?!\p{{Ll}})",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_DEGREES}(?:(?:{_ARTICLES}) )?{_PART.format(stop='')}(?: {_PART.format(stop=_STOP)})*+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 WORDED = f"(?:{PATTERNS['secret']})|(?:{PATTERNS['name']})"
@@ -121,20 +133,22 @@ def classify(e: Column) -> Column:
 
 
 SECRET_VALUE = r"^[^=:]*[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{8,}+)$"
-NAME_PARTS = rf"^({_TITLE})\.? (.*)$"
+NAME_PARTS = rf"^(({_TITLE})\.? {_DEGREES})(.*)$"
 
 
 def canonical(kind: Column, e: Column) -> Column:
     """What mentions of one entity have in common."""
     bare = F.lower(F.regexp_replace(e, r"[^\p{L}\p{N}]", ""))
-    title = F.regexp_extract(e, NAME_PARTS, 1)
+    title = F.regexp_extract(e, NAME_PARTS, 2)
+    # without particles and in one case, so that spellings of a name agree
+    name = F.initcap(F.regexp_replace(F.regexp_extract(e, NAME_PARTS, 3), rf"(?:^|(?<= ))(?:{_PARTICLES}|{_ARTICLES}) ", ""))
     gender = F.when(title.isin([t for (g, _), ts in TITLES.items() if g == "f" for t in ts]), "f").otherwise("m")
     return (
         F.when(kind == "email", F.lower(e))
         .when(kind == "phone", F.expr("right(regexp_replace(e, '[^0-9]', ''), 10)"))
         .when(kind == "secret", F.regexp_extract(e, SECRET_VALUE, 1))
         .when(kind.isin("key", "ip"), e)
-        .when(kind == "name", F.concat_ws(" ", gender, F.regexp_extract(e, NAME_PARTS, 2)))
+        .when(kind == "name", F.concat_ws(" ", gender, name))
         .otherwise(bare)
     )
 
@@ -169,9 +183,9 @@ def _recase(text: Column, like: Column) -> Column:
 
 
 def _name(form: Column, attempt: Column, key: str) -> Column:
-    """Names of a form "gender name [name]": the last is the surname, which is drawn by itself, as is the given name."""
+    """Names of a form "gender [name ...] name": the last is the surname, which is drawn by itself, as is each given name."""
     gender, rest = F.substring(form, 1, 1), F.substr(form, F.lit(3), F.length(form))
-    parts = F.split(rest, "[ -]")
+    parts = F.split(rest, " ")
     script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     last = F.element_at(parts, -1)
     cyrillic_root = F.regexp_replace(last, "(?:ова|ев|ева|ов|ин|ина)$", "")
@@ -183,8 +197,16 @@ def _name(form: Column, attempt: Column, key: str) -> Column:
         # a name that collides grows, so that there are always enough
         more = [F.when(attempt > k, pick(13 + 4 * k)).otherwise("") for k in range(5)]
         surname = F.concat(F.initcap(pick(1)), pick(5), pick(9), *more, F.lit(ENDINGS[g, s]))
-        given = F.element_at(F.array(*map(F.lit, GIVEN[g, s])), F.pmod(F.conv(F.substring(stream(key, _s("given"), _s(g), parts[0]), 1, 4), 16, 10).cast("int"), F.lit(16)) + 1)
-        return F.when(F.size(parts) > 1, F.concat_ws(" ", given, surname)).otherwise(surname)
+        names = F.array(*map(F.lit, GIVEN[g, s]))
+
+        def one(part: Column) -> Column:
+            n = F.pmod(F.conv(F.substring(stream(key, _s("given"), _s(g), part), 1, 4), 16, 10).cast("int"), F.lit(16))
+            # the next of the list that isn't in the name itself
+            turned = F.concat(F.slice(names, n + 1, F.lit(16)), F.slice(names, F.lit(1), n))
+            return F.coalesce(F.try_element_at(F.array_except(turned, parts), F.lit(1)), F.element_at(turned, 1))
+
+        given = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), one)
+        return F.array_join(F.concat(given, F.array(surname)), " ")
 
     names = None
     for (g, s) in GIVEN:
@@ -208,7 +230,7 @@ def render(kind: Column, e: Column, form: Column, surrogate: Column) -> Column:
 
     spelt = F.array_join(F.transform(chars, place), "")
     prefixed = F.concat(F.substr(e, F.lit(1), F.length(e) - F.length(form)), surrogate)
-    titled = F.concat(F.regexp_extract(e, rf"^((?:{_TITLE})\.? )", 1), F.substr(surrogate, F.lit(3), F.length(surrogate)))
+    titled = F.concat(F.regexp_extract(e, NAME_PARTS, 1), F.substr(surrogate, F.lit(3), F.length(surrogate)))
     return F.when(kind == "secret", prefixed).when(kind.isin("ip", "key"), surrogate).when(kind == "name", titled).otherwise(spelt)
 
 

@@ -87,3 +87,24 @@ def test_long_secrets(spark):
         assert len(new) == len(k) and not any(k[j : j + 8] in new for j in range(len(k) - 7))
     new = re.fullmatch(r"secret\n= '(\S+)'", got[200].text)[1]
     assert len(new) == 300 and not any(long(300)[j : j + 8] in new for j in range(293))
+
+
+NAMES = [
+    ("Mr", "Jean-Luc Picard"), ("Mrs", "Anna Maria Schmidt"), ("Frau", "Anna M\u00fcller-Schmidt"), ("Mr", "McDonald"), ("Mr", "O'Brien"), ("Mr", "Ludwig van Beethoven"),
+    ("Frau", "von der Leyen"), ("Madame", "Marie d\u2019Aboville"), ("Mr", "J. R. R. Tolkien"), ("Mr", "Ban Ki-moon"), ("Mme", "DUPONT"), ("Frau Dr.", "Ilse Braun"), ("Mrs", "Clara Berta Alma Stone"),
+    ("\u0413\u043e\u0441\u043f\u043e\u0436\u0430", "\u0410\u043d\u043d\u0430 \u0418\u0432\u0430\u043d\u043e\u0432\u043d\u0430 \u041f\u0435\u0442\u0440\u043e\u0432\u0430-\u0421\u0438\u0434\u043e\u0440\u043e\u0432\u0430"),
+]
+
+
+def test_whole_names(spark):
+    """No part of a name of any number of parts is left, what follows it is, and its last part is the surname."""
+    texts = [f"so {t} {n} said" for t, n in NAMES] + ["Mrs Anna Maria Schmidt, Mrs Schmidt, Mrs SCHMIDT's, Mr van Dyck, Mr Dyck", "Mr Smith and Peter; Herr Weber den Brief; Mr Smith I think; Mr Smith Mrs Jones", "Mr " + "Ab " * 20_000]
+    got = [r.text for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "k").orderBy("doc_id").collect()]
+    for (t, n), new in zip(NAMES, got, strict=False):
+        assert new.startswith(f"so {t} ") and new.endswith(" said")
+        assert not set(re.findall(r"\w+", n)) & set(re.findall(r"\w+", new.removeprefix(f"so {t} "))), new
+    a, b, c, d, e = (re.sub("'s$", "", m).split()[-1] for m in got[len(NAMES)].split(", "))
+    assert a == b == c and d == e and "Schmidt" not in got[len(NAMES)] and "'s" in got[len(NAMES)]
+    m = re.fullmatch(r"Mr (\w+) and Peter; Herr (\w+) den Brief; Mr (\w+) I think; Mr (\w+) Mrs (\w+)", got[len(NAMES) + 1])
+    assert m and m[1] == m[3] == m[4] != "Smith" and m[2] != "Weber" and m[5] != "Jones"
+    assert "Ab" not in got[-1].split()

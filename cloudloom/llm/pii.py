@@ -65,7 +65,8 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? {_DEGREES}(?:(?:{_ARTICLES}) )?{_PART.format(stop='')}(?: {_PART.format(stop=_STOP)})*+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-WORDED = f"(?:{PATTERNS['secret']})|(?:{PATTERNS['name']})"
+#: What can be without any digit and @.
+WORDED = "|".join(f"(?:{PATTERNS[p]})" for p in ("secret", "key", "mac", "name"))
 #: Alphabets by script; each character is replaced by one of its own alphabet.
 ALPHABETS = [
     ("[0-9]", "0123456789"),

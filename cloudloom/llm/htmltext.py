@@ -27,6 +27,8 @@ from .storage import small_batches
 
 #: Elements whose text is never rendered.
 SILENT = {"script", "style", "noscript", "template", "head", "svg", "iframe", "object", "textarea", "select", "canvas", "math"}
+#: What can stand in a head; any other start tag, and text, ends an open one.
+HEADED = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 #: Of these the content isn't mark-up: everything up to the end tag is skipped.
 RAW = {"script", "style", "textarea", "template", "noscript", "iframe", "title", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -111,6 +113,8 @@ def leaf_blocks(page: str) -> list[tuple[str, int, tuple[Element, ...]]]:
 
     def add(text: str) -> None:
         nonlocal linked
+        if silent and stack[-1].tag == "head" and text.strip():
+            pop(len(stack) - 1)
         if text and not silent:
             parts.append(text)
             if links:
@@ -140,6 +144,8 @@ def leaf_blocks(page: str) -> list[tuple[str, int, tuple[Element, ...]]]:
                 if tag not in SCOPES and stack[i].tag in SCOPES:
                     break
             continue
+        if silent and stack[-1].tag == "head" and tag not in HEADED:
+            pop(len(stack) - 1)
         if tag in VOID:
             if tag in ("br", "hr"):
                 add(" ")

@@ -56,3 +56,16 @@ def test_pages(spark, chain):
         inner = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
         blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>", "", b))).strip() for b in re.split(r"</?(?:p|h1|br)>", inner)]
         assert H.main_text(r.html, chain) == " ".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("head", ["<head>", "<head lang=en><meta charset=utf-8><link href=x><base href=/>", "<HEAD><script>a</script><noscript>no</noscript>", "<head><head>"])
+@pytest.mark.parametrize("body", ["<body>", "<BODY class=x>", ""])
+def test_open_head(chain, head, body):
+    """A head without an end tag ends where what can't stand in it begins."""
+    opened = PAGE.replace("<head>", head).replace("</head><body>", body)
+    assert "</head>" not in opened and H.main_text(opened, chain) == H.main_text(PAGE, chain) != ""
+
+
+def test_text_ends_head():
+    assert [b[0] for b in H.leaf_blocks("<html><head><title>T</title> \n Plain text.<p>More.")] == ["Plain text.", "More."]
+    assert H.leaf_blocks("<head><title>T</title><style>p{}</style></head>") == []

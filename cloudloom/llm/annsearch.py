@@ -101,14 +101,15 @@ def assign(tree: Tree, x: np.ndarray) -> np.ndarray:
             return tree.leaf[at]
 
 
-def visits(tree: Tree, q: np.ndarray, most: int, reach: float) -> list[int]:
-    """The first ``most`` leaves of a best-bin-first traversal."""
+def visits(tree: Tree, q: np.ndarray, most: int, reach: float, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+    """The first ``most`` leaves of a best-bin-first traversal; with the rows per leaf, more until ``least`` rows are in them."""
     gain = tree.centroids @ q + reach * float(np.sqrt(q @ q)) * tree.radius
-    queue, out = [(-gain[0], 0)], []
-    while queue and len(out) < most:
+    queue, out, held = [(-gain[0], 0)], [], 0
+    while queue and (len(out) < most or (sizes is not None and held < least)):
         _, node = heapq.heappop(queue)
         if not tree.children[node]:
             out.append(int(tree.leaf[node]))
+            held += 0 if sizes is None else int(sizes[out[-1]])
         for child in tree.children[node]:
             heapq.heappush(queue, (-gain[child], child))
     return out
@@ -168,13 +169,18 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(assign(shared.value, _matrix(batch.column(1))), pa.int64())], names=["id", "v", "leaf"])
 
     indexed = s.settle(rows.mapInArrow(index, "id long, v array<double>, leaf long"), "index")
-    queries = indexed.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    queries = indexed.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
     most, reach = calibrate(indexed, queries, tree, k, recall)
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # one row per leaf
+        sizes[r.leaf] = r.n
+    held = context.broadcast(sizes)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [visits(shared.value, q, most, reach) for q in _matrix(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=["id", "v", "leaves"])
+            # k rows besides those of the query's own id
+            found = [visits(shared.value, q, most, reach, held.value, k + own) for q, own in zip(_matrix(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int64()))], names=["id", "v", "leaves"])
 
     routed = s.settle(queries.mapInArrow(route, "id long, v array<double>, leaves array<long>"), "queries")
     routed = routed.select("id", "v", F.explode("leaves").alias("leaf"))

@@ -63,3 +63,14 @@ def test_traversal_visits_all_leaves_once(reach):
     tree = A.fit(x, leaf=30)
     order = A.visits(tree, x[0], tree.leaves, reach)
     assert sorted(order) == list(range(tree.leaves)) and set(np.unique(A.assign(tree, x))) <= set(order)
+
+
+def test_small_leaves_are_widened():
+    """Leaves of few rows: the traversal goes on until enough rows are in the visited ones, or all are visited."""
+    x = np.random.default_rng(3).normal(size=(400, 4))
+    tree = A.fit(x, leaf=10)
+    sizes = np.ones(tree.leaves, np.int64)
+    assert len(A.visits(tree, x[0], 2, 0.0)) == 2
+    got = A.visits(tree, x[0], 2, 0.0, sizes, 21)
+    assert len(got) == 21 and got == A.visits(tree, x[0], 21, 0.0)
+    assert len(A.visits(tree, x[0], 2, 0.0, sizes, 10**6)) == tree.leaves and len(A.visits(tree, x[0], 2, 0.0, sizes * 30, 21)) == 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,16 +13,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int) -> list[tuple[int, str]]:
-    """(label, text) of at most ``per_class`` labelled rows of each value 0 and 1, the same rows on every run.
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int, graded: bool = False) -> list[tuple[int, str]]:
+    """(label, text) of at most ``per_class`` labelled rows of each value 0 and 1 (graded: 0, 1, 2, ...), the same rows on every run.
 
     Rows are drawn by a hash of doc_id among those that are not held out. Of a text longer than ``chars`` code points, four
     evenly spaced pieces of a quarter of that are taken, so that the sample is bounded in bytes too. Only learning is sampled.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
+    fits = (F.col(label) >= 0) & (F.col(label) % 1 == 0) if graded else F.col(label).isin(0, 1)
+    known = labels.where(fits & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).alias("label"))
-    drawn = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
-    few = F.broadcast(drawn[0].union(drawn[1]))  # 2 * per_class rows at most
+    values = sorted(r.label for r in known.select("label").distinct().collect()) if graded else [0, 1]
+    if not values:
+        return []
+    drawn = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in values]
+    few = F.broadcast(functools.reduce(DataFrame.union, drawn))  # per_class rows of each value at most
     n, q = F.length("text"), chars // 4
     pieces = F.concat_ws(" ", *(F.substring(F.col("text"), (F.floor((n - q) * k / 3) + 1).cast("int"), F.lit(q)) for k in range(4)))
     text = F.when(n <= chars, F.col("text")).otherwise(pieces)

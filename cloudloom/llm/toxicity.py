@@ -26,7 +26,7 @@ BITS = 20
 PLACES = 1 << BITS
 #: Bytes of the word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7, 8, 9, 10, 12)
-#: Learning reads at most this many labelled documents of each class, and this many code points of each.
+#: Learning reads at most this many labelled documents of each class or grade, and this many code points of each.
 PER_CLASS, CHARS = 1500, 6000
 #: Features that are weighed: those that tell the classes apart best, of those in at least MIN_DOCS documents.
 CHOSEN, MIN_DOCS = 1500, 4
@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     """A model from a bounded sample of the labelled rows that are not held out; the classes' shares come from all of these."""
     used = labels.where(F.col("toxic").isNotNull()).where(~held_out(F.col("doc_id")))
     prior = used.agg(F.avg(F.when(F.col("toxic") == 0, 1).otherwise(0))).first()[0]
-    return learn(sample(docs, labels, "toxic", per_class, CHARS), 0.9 if prior is None else prior)
+    return learn(sample(docs, labels, "toxic", per_class, CHARS, graded=True), 0.9 if prior is None else prior)
 
 
 def above(data: np.ndarray, w: X.Words, model: Model) -> np.ndarray:

@@ -78,3 +78,13 @@ def test_edges(spark, weird, nothing, docs, labels, module, label):
 def test_filter_keeps_columns(spark, docs, labels):
     got = quality.keep_good(docs.withColumn("score", F.lit("mine")), labels)
     assert got.columns == [*docs.columns, "score"] and 0 < got.count() < docs.count()
+
+
+def test_every_grade_is_sampled(spark):
+    """Rows of all grades are learnt from, so many of each at most; binary samples read 0 and 1 only."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 5 if i % 5 < 4 else None) for i in range(200)], "doc_id long, toxic int")
+    rows = labelled.sample(docs, labels, "toxic", 7, 100, graded=True)
+    assert sorted(v for v, _ in rows) == [v for v in range(4) for _ in range(7)] and all(int(t.split()[1]) % 5 == v for v, t in rows)
+    assert sorted(v for v, _ in labelled.sample(docs, labels, "toxic", 7, 100)) == [0] * 7 + [1] * 7
+    assert labelled.sample(docs, labels.where("false"), "toxic", 7, 100, graded=True) == []

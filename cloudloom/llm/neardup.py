@@ -1,7 +1,7 @@
 """Near-duplicate groups by banded MinHash, odd sketches and an exact check.
 
-1. Every document becomes a set of 5-word shingles, 168 MinHash samples of it, 28 band keys of six samples each, and an odd
-   sketch: the samples are folded into a parity bitmap of 512 bits. Documents with equal sets are one class from here on.
+1. Every document becomes a set of 5-word shingles, MinHash samples of it, band keys of six samples each (168 and 28 for a
+   threshold of 0.85, 264 and 44 for 0.8), and an odd sketch: the samples are folded into a parity bitmap of 512 bits. Documents with equal sets are one class from here on.
 2. In every bucket (equal band key) one member, drawn by a hash that differs from bucket to bucket, is the centre; the others
    are paired with it. The number of pairs is linear in the memberships, whatever the size of a bucket.
 3. The population count of two sketches' XOR estimates their similarity; pairs that are far below the threshold go. So do pairs that a
@@ -13,11 +13,12 @@
    nearest of each, then all that are still apart. After that every two classes
    that share a bucket are in one component or have been found unlinked.
 
-At a similarity of 0.85 two sets share no bucket with probability (1 - 0.85^6)^28 < 2e-6, and less above.
+At the threshold two sets share no bucket with a probability below 2e-6, (1 - 0.85^6)^28 or (1 - 0.8^6)^44, and less above.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -33,7 +34,8 @@ from .storage import Scratch, anti_join, semi_join, settle
 
 SHINGLE = 5
 BANDS, ROWS = 28, 6
-SAMPLES = BANDS * ROWS
+#: The chance that a pair at the threshold shares no bucket is below this; BANDS suit PERCENT.
+MISSED = 2e-6
 SKETCH = 512
 #: Bits of the fine sketch, which folds the set itself.
 FINE = 2048
@@ -44,11 +46,20 @@ SIGMAS = 5
 #: Classes of one block when members of a bucket are compared with one another.
 SIDE = 256
 
-_rng = np.random.Generator(np.random.PCG64(77))
-_A = (_rng.integers(0, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1))[:, None]
-_B = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)[:, None]
-_BAND = _rng.integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-_CELL = _rng.integers(0, 2**64, SAMPLES, dtype=np.uint64)
+
+@functools.cache
+def _draws(bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Factors and summands of the samples, multipliers of the bands, and salts of the cells."""
+    rng, n = np.random.Generator(np.random.PCG64(77)), bands * ROWS
+    a = (rng.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1))[:, None]
+    b = rng.integers(0, 2**32, n, dtype=np.uint32)[:, None]
+    band = rng.integers(0, 2**64, (bands, ROWS), dtype=np.uint64) | np.uint64(1)
+    return a, b, band, rng.integers(0, 2**64, n, dtype=np.uint64)
+
+
+def bands_for(percent: int) -> int:
+    """The fewest bands with which a pair at the threshold is missed with a chance below MISSED."""
+    return math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS))) if percent < 100 else 1
 
 
 def shingle_sets(w: X.Words) -> Iterator[np.ndarray]:
@@ -62,22 +73,25 @@ def shingle_sets(w: X.Words) -> Iterator[np.ndarray]:
             yield X.grams(w.hashes[w.ptr[i] : w.ptr[i + 1]], np.array([0, n]), n)[0] if n else np.zeros(0, np.uint64)
 
 
-def samples(s: np.ndarray) -> np.ndarray:
+def samples(s: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """MinHash samples of a set that isn't empty."""
+    a, b, _, _ = _draws(bands)
     x = (s >> np.uint64(32)).astype(np.uint32)
-    parts = [(x[i : i + 4096] * _A + _B).min(axis=1) for i in range(0, len(x), 4096)]
+    parts = [(x[i : i + 4096] * a + b).min(axis=1) for i in range(0, len(x), 4096)]
     return parts[0] if len(parts) == 1 else np.min(parts, axis=0)
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
-    """Keys (rows, BANDS) of samples (rows, SAMPLES); they hold the band's number."""
-    v = X.mix(m.reshape(-1, BANDS, ROWS).astype(np.uint64) + _BAND)
-    return X.mix((v * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    """Keys (rows, bands) of samples (rows, bands * ROWS); they hold the band's number."""
+    bands = m.shape[1] // ROWS
+    band = _draws(bands)[2]
+    v = X.mix(m.reshape(-1, bands, ROWS).astype(np.uint64) + band)
+    return X.mix((v * band).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
 def odd_sketches(m: np.ndarray) -> np.ndarray:
-    """Parity bitmaps (rows, SKETCH / 64) of samples (rows, SAMPLES)."""
-    cell = (X.mix(m.astype(np.uint64) ^ _CELL) % np.uint64(SKETCH)).astype(np.int64)
+    """Parity bitmaps (rows, SKETCH / 64) of samples (rows, bands * ROWS)."""
+    cell = (X.mix(m.astype(np.uint64) ^ _draws(m.shape[1] // ROWS)[3]) % np.uint64(SKETCH)).astype(np.int64)
     return _parities((cell + np.arange(len(m))[:, None] * SKETCH).ravel(), len(m), SKETCH)
 
 
@@ -103,11 +117,11 @@ def odd_cells(thrown: np.ndarray | float, cells: int) -> tuple[np.ndarray, np.nd
 def most_ones(percent: int = PERCENT) -> int:
     """The most ones in an XOR of sketches with which a pair may still reach the threshold.
 
-    Of SAMPLES samples a pair at similarity J differs in SAMPLES * (1 - J) on either side; so many cells are odd, less those that meet
+    Of n samples a pair at similarity J differs in n * (1 - J) on either side; so many cells are odd, less those that meet
     in one. The margin is SIGMAS standard deviations of both together, the samples' and the cells'.
     """
-    j = percent / 100
-    apart, spread = 2 * SAMPLES * (1 - j), 2 * math.sqrt(SAMPLES * j * (1 - j))
+    j, n = percent / 100, bands_for(percent) * ROWS
+    apart, spread = 2 * n * (1 - j), 2 * math.sqrt(n * j * (1 - j))
     at, by_cells = odd_cells(apart, SKETCH)
     by_samples = (odd_cells(apart + SIGMAS * spread, SKETCH)[0] - at) / SIGMAS
     return math.ceil(at + SIGMAS * math.hypot(by_samples, math.sqrt(by_cells)))
@@ -127,7 +141,7 @@ def most_fine_ones(sizes, percent: int = PERCENT, of=np):
     return of.ceil(at + SIGMAS * of.sqrt(of.abs(by_cells)) + 1)
 
 
-def profile(docs: DataFrame) -> DataFrame:
+def profile(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if empty), odd sketch, fine sketch and band keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +149,9 @@ def profile(docs: DataFrame) -> DataFrame:
             for lo, hi, data, offs in X.blocks(batch.column(1)):
                 sets = list(shingle_sets(X.words(data, offs, X.SPACE, True)))
                 full = np.array([len(s) > 0 for s in sets])
-                m = np.zeros((len(sets), SAMPLES), np.uint32)
+                m = np.zeros((len(sets), bands * ROWS), np.uint32)
                 for i in np.flatnonzero(full).tolist():
-                    m[i] = samples(sets[i])
+                    m[i] = samples(sets[i], bands)
                 listed = lambda a: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(a).ravel()), a.shape[1]).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -259,7 +273,8 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     spark = docs.sparkSession
     s = Scratch(spark)
-    profiles = s.settle(profile(docs), "profiles")
+    bands = bands_for(percent)
+    profiles = s.settle(profile(docs, bands), "profiles")
     real = profiles.where("digest is not null and doc_id is not null")
     # one row per distinct set; what else the rows of equal sets have is equal
     classes = real.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "fine", "bands")))
@@ -267,7 +282,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = s.settle(classes, "classes", n, 20_000)
     members = classes.select("node", F.explode("bands").alias("bucket"))
     centres = members.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("centre"), F.count("*").alias("size")).where("size > 1")
-    buckets = s.settle(members.join(centres, "bucket"), "buckets", BANDS * n)
+    buckets = s.settle(members.join(centres, "bucket"), "buckets", bands * n)
     m = buckets.count()
     pairs = buckets.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = s.settle(_near(pairs, classes, "sketch", SKETCH, F.lit(most_ones(percent)), percent), "pairs", m, 40_000)

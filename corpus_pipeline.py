@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from cloudloom.llm import bpe, decontamination, neardup, pii, quality, storage
 from cloudloom.llm.queries import PII_KEY, table, vocabulary
 
+#: Near copies are linked from a similarity of 0.8 on.
+NEAR_PERCENT = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -22,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest doc_id."""
-    return neardup.deduplicate(docs.select(COLUMNS))
+    return neardup.deduplicate(docs.select(COLUMNS), NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from cloudloom.llm import neardup as N
 from cloudloom.llm.components import components
 from cloudloom.llm.storage import Scratch
@@ -117,3 +118,26 @@ def test_sketches_estimate():
             assert odd <= N.most_ones() and fine <= N.most_fine_ones(np.array(2 * n))
         if j == 0.5:
             assert odd > N.most_ones() and fine > N.most_fine_ones(np.array(2 * n))
+
+
+def test_bands_suit_the_threshold():
+    assert N.bands_for(85) == N.BANDS and N.bands_for(80) == 44
+    assert all((1 - (p / 100) ** N.ROWS) ** N.bands_for(p) < 2e-6 for p in (50, 80, 85, 95, 99))
+
+
+def test_stage_links_from_80_on(spark):
+    """The pipeline's stage against a brute force at 80; pairs lie at 0.77, 0.8 exactly, 0.84 and 0.92."""
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(120 if g % 2 else 49)]
+        text = base[:]
+        for k in range(1 + g % 3 if g % 2 else 1):
+            text[20 + 20 * k] = "other"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(text))]
+    sets = [(d, shingles(t)) for d, t in rows]
+    close = lambda x, y, p: 100 * len(x & y) >= p * len(x | y)
+    gone = lambda p: {b for (_, x), (b, y) in zip(sets[::2], sets[1::2], strict=True) if close(x, y, p)}
+    assert gone(80) > gone(85)
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()}
+    assert left == {d for d, _ in rows} - gone(80)

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set (tests)."""
+    """The shared folder that the cluster names. Where none is set, a temporary one, in local mode only."""
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(spark.sparkContext, "_llm_scratch", None)
     if own is None:
         own = spark.sparkContext._llm_scratch = tempfile.mkdtemp(prefix="llm-scratch-")
@@ -69,6 +71,12 @@ class Scratch:
         out._scratch = path
         return out
 
+    @staticmethod
+    def union(tables: list[DataFrame]) -> DataFrame:
+        """All rows of tables of one schema, read as one."""
+        first = tables[0]
+        return first.sparkSession.read.schema(first.schema).parquet(*(t._scratch for t in tables))
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no unfinished DataFrame reads any more, and shuffle files of finished jobs."""
         for table in tables:
@@ -77,18 +85,22 @@ class Scratch:
         release(self.spark)
 
 
-#: Bits of the filter that is read before a semi join: 2 MB, whatever the input.
-FILTER_BITS = 1 << 24
+#: Bits for each key of the filter that is read before a semi join, and the most bits that are broadcast (16 MB).
+BITS_PER_KEY, MOST_BITS = 16, 1 << 27
 _BUCKET = 1 << 15
 
 
 def split(wide: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
     """(rows of ``wide`` whose key may be among ``keys``, rows whose key surely isn't), without a shuffle of ``wide``.
 
-    A bit filter of fixed size is built by map-side bitmaps and broadcast. A row goes to the first part if its key's bit is set: all
-    wanted keys and those that share a bit with one. With very many keys the first part is nearly everything.
+    A bit filter, sized by the number of keys, is built by map-side bitmaps and broadcast. A row goes to the first part if its key's bit is
+    set: all wanted keys and a sixteenth of the others. With more keys than MOST_BITS / BITS_PER_KEY a filter would be too large to
+    broadcast; then all rows are in the first part, and the join that follows reads them all.
     """
-    place = F.pmod(F.xxhash64(on), F.lit(FILTER_BITS))
+    size = max(_BUCKET, 1 << (BITS_PER_KEY * max(keys.count(), 1) - 1).bit_length())
+    if size > MOST_BITS:
+        return wide, wide.where("false")
+    place = F.pmod(F.xxhash64(on), F.lit(size))
     bucket, bit = F.floor(place / _BUCKET).cast("int"), F.pmod(place, F.lit(_BUCKET))
     bits = keys.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     marked = wide.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(bits), "_bucket", "left")
@@ -98,6 +110,23 @@ def split(wide: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFra
     return marked.where(hit).select(wide.columns), marked.where(~hit).select(wide.columns)
 
 
+#: A key with more than a share of 1/HOT of the rows is met by a broadcast; fewer than HOT keys can be so frequent.
+HOT = 2000
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a settled table that has each key once and knows how many rows have it, in column ``count`` (not kept).
+
+    Frequent keys never meet in one task: their few rows of ``one`` are broadcast, and only the other keys are shuffled. how: inner or left.
+    """
+    keys = [key] if isinstance(key, str) else key
+    limit = F.lit(total // HOT)
+    hot = F.broadcast(one.where(F.col(count) > limit).drop(count))
+    met = rows.join(hot, keys)
+    rest = rows.join(F.broadcast(one.where(F.col(count) > limit).select(keys)), keys, "left_anti")
+    return met.unionByName(rest.join(one.where(F.col(count) <= limit).drop(count), keys, how))
+
+
 def semi_join(wide: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """The rows of ``wide`` whose key is among ``keys``; of the others, few are shuffled.
 
@@ -108,6 +137,6 @@ def semi_join(wide: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
 def anti_join(wide: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """The rows of ``wide`` whose key isn't among ``keys``; of these, few are shuffled."""
-    maybe, surely_not = split(wide, keys, on)
+    maybe, surely_not = split(wide, keys.where(F.col(on).isNotNull()), on)
     marked = maybe.join(keys.select(on).distinct().withColumn("_there", F.lit(True)), on, "left")
     return surely_not.unionByName(marked.where("_there is null").select(wide.columns))

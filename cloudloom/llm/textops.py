@@ -1,26 +1,31 @@
 """Vectorised word handling on the UTF-8 bytes of Arrow string columns.
 
 Words are maximal runs of bytes outside a separator table. All separators used here are ASCII, so bytes and
-code points agree. Hashes are 64-bit polynomial hashes over random byte values, finished by a mixer; they depend
-on nothing but the bytes, so every worker and every run computes the same ones.
+code points agree. The words of a block are told apart exactly, by a dictionary of their bytes. A distinct word has 128 bits of hash: its
+bytes go through a mixer eight at a time (no sum or polynomial, whose collisions could be built in), and long words through BLAKE2b.
+Shingles combine their words' hashes through the mixer too. All depend on nothing but the bytes, so every worker and every run
+computes the same ones. Hashes propose; where equality decides a result, callers compare the words themselves.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are handled together; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
 U64 = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240611))
-BYTE_VALUES = _rng.integers(0, 2**64, 256, dtype=U64)
-_BASE = int(_rng.integers(0, 2**62, dtype=U64)) * 4 + 3
-_POW = {}
+#: Words of more bytes are hashed one by one.
+SHORT = 32
+#: Masks that leave the first 0 to 8 bytes of a little-endian word of memory.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
 
 
 def _separators(keep) -> np.ndarray:
@@ -37,18 +42,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base modulo 2^64, and their inverses."""
-    have = len(_POW["p"]) if _POW else 0
-    if n > have:
-        size = max(n, 2 * have, 1 << 16)
-        for key, base in (("p", _BASE), ("q", pow(_BASE, -1, 2**64))):
-            a = np.full(size, base & (2**64 - 1), U64)
-            a[0] = 1
-            _POW[key] = np.multiply.accumulate(a)
-    return _POW["p"][:n], _POW["q"][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> U64(30))
     h *= U64(0xBF58476D1CE4E5B9)
@@ -59,12 +52,74 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """starts and ends in the block's bytes; row i has the words ptr[i]:ptr[i+1]."""
+    """starts and ends in the block's bytes; row i has the words ptr[i]:ptr[i+1]. Word i is ``distinct[codes[i]]``."""
 
     starts: np.ndarray
     ends: np.ndarray
     ptr: np.ndarray
-    hashes: np.ndarray
+    codes: np.ndarray
+    distinct: pa.Array
+
+    @functools.cached_property
+    def _digests(self) -> np.ndarray:
+        return word_digests(self.distinct)
+
+    @functools.cached_property
+    def hashes(self) -> np.ndarray:
+        """The first 64 bits of each word's hash."""
+        return self._digests[self.codes, 0]
+
+    @functools.cached_property
+    def seconds(self) -> np.ndarray:
+        """The other 64 bits."""
+        return self._digests[self.codes, 1]
+
+
+class Vocabulary:
+    """Some words, numbered from 1 in the order of their hashes. Numbers are by equality of bytes."""
+
+    def __init__(self, words: list[bytes]):
+        some = pa.array(sorted(set(words)), pa.large_binary())
+        first = word_digests(some)[:, 0]
+        order = np.argsort(first, kind="stable")
+        self.words, self.first = some.take(pa.array(order)), first[order]
+        self.apart = bool((self.first[1:] != self.first[:-1]).all())
+
+    def numbers(self, w: Words) -> np.ndarray:
+        """The number of every word of a block, 0 for those that aren't here."""
+        if not len(self.words) or not len(w.distinct):
+            return np.zeros(len(w.codes), np.int64)
+        if not self.apart:  # two words share 64 bits
+            return (pc.fill_null(pc.index_in(w.distinct, self.words), -1).to_numpy() + 1).astype(np.int64)[w.codes]
+        at = np.searchsorted(self.first, w._digests[:, 0])
+        at[at == len(self.first)] = 0
+        maybe = np.flatnonzero(self.first[at] == w._digests[:, 0])
+        same = pc.equal(self.words.take(pa.array(at[maybe])), w.distinct.take(pa.array(maybe))).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(w.distinct), np.int64)
+        out[maybe[same]] = at[maybe[same]] + 1
+        return out[w.codes]
+
+
+def word_digests(words: pa.Array) -> np.ndarray:
+    """128-bit hashes (n, 2) of words."""
+    n = len(words)
+    out = np.empty((n, 2), U64)
+    if not n:
+        return out
+    _, offsets, data = words.buffers()
+    offs = np.frombuffer(offsets, np.int64)[words.offset : words.offset + n + 1]
+    padded = np.zeros(int(offs[-1]) + 8, np.uint8)
+    padded[:-8] = np.frombuffer(data, np.uint8)[: offs[-1]]
+    lanes = np.lib.stride_tricks.as_strided(padded[:8].view(U64), (len(padded) - 7,), (1,))
+    length = np.diff(offs)
+    out[:, 0], out[:, 1] = mix(length.astype(U64) ^ U64(0x452821E638D01377)), mix(length.astype(U64) ^ U64(0xBE5466CF34E90C6C))
+    for at in range(0, SHORT, 8):
+        some = np.flatnonzero((length > at) & (length <= SHORT))
+        lane = lanes[offs[some] + at] & _FIRST[np.minimum(length[some] - at, 8)]
+        out[some, 0], out[some, 1] = joined(out[some, 0], lane), joined(out[some, 1], lane)
+    for i in np.flatnonzero(length > SHORT).tolist():
+        out[i] = np.frombuffer(hashlib.blake2b(words[i].as_buffer(), digest_size=16).digest(), U64)
+    return out
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,27 +163,29 @@ def words(data: np.ndarray, offs: np.ndarray, separators: np.ndarray, lower: boo
     after[-1:] = False
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    return Words(starts, ends, np.searchsorted(starts, offs), span_hashes(data, starts, ends))
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    flat = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+    coded = flat.dictionary_encode()
+    return Words(starts, ends, np.searchsorted(starts, offs), coded.indices.to_numpy(), coded.dictionary)
+
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs; the order counts."""
+    return mix(mix(a * U64(0x9E3779B97F4A7C15) + U64(0x1F83D9ABFB41BD6B)) ^ b)
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: tuple[int, ...] = ()) -> np.ndarray:
-    """Hash of data[start:end] for each span; works through pieces, so that long texts need no long tables.
 
-    With cuts, a row for each: the hashes of the spans' first ``cut`` bytes (of shorter spans, of the whole).
-    """
-    out = np.empty((max(1, len(cuts)), len(starts)), U64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, "right")))
-        a, b = int(starts[i]), int(ends[j - 1])
-        p, q = powers(b - a + 1)
-        total = np.zeros(b - a + 1, U64)
-        np.cumsum(BYTE_VALUES[data[a:b]] * p[:-1], out=total[1:])
-        s, whole = starts[i:j] - a, ends[i:j] - a
-        for k, e in enumerate([np.minimum(whole, s + c) for c in cuts] or [whole]):
-            out[k, i:j] = mix((total[e] - total[s]) * q[s] + (e - s).astype(U64) * U64(0x9E3779B97F4A7C15))
-        i = j
-    return out if cuts else out[0]
+def rolling(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every k consecutive values, put together from those of 1, 2, 4, ... values."""
+    out, have, part, size = None, 0, h, 1
+    while True:
+        if k & size:
+            out = part if out is None else joined(out[: max(0, len(part) - have)], part[have:])
+            have += size
+        size *= 2
+        if size > k:
+            return mix(out ^ U64(k))
+        part = joined(part[: max(0, len(part) - size // 2)], part[size // 2 :])
 
 
 def grams(hashes: np.ndarray, ptr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,12 +196,8 @@ def grams(hashes: np.ndarray, ptr: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     out = np.empty(len(at), U64)
     step = BLOCK_BYTES // 4
     for i in range(0, len(at), step):
-        a, b = int(at[i]), int(at[min(i + step, len(at)) - 1]) + k
-        p, q = powers(b - a + 1)
-        total = np.zeros(b - a + 1, U64)
-        np.cumsum(hashes[a:b] * p[:-1], out=total[1:])
-        s = at[i : i + step] - a
-        out[i : i + step] = mix((total[s + k] - total[s]) * q[s] + U64(k))
+        some = at[i : i + step]
+        out[i : i + step] = rolling(hashes[some[0] : some[-1] + k], k)[some - some[0]]
     return out, at, gptr
 
 

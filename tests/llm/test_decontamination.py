@@ -37,7 +37,7 @@ def result(df):
 ITEMS = [(1, "One, two three. FOUR five six seven eight nine ten eleven"), (10, "single"), (2, "and again"), (3, None), (None, "single"), (4, "..."), (5, "Z\u00fcrich wort\u00e4r"), (10, "seven eight nine"), (2, "and again")]
 
 
-@pytest.mark.parametrize("block", [2 << 20, 20])
+@pytest.mark.parametrize("block", [16 << 20, 60])
 def test_against_brute_force(spark, weird, monkeypatch, block):
     """Also with so small blocks that the benchmark takes several passes."""
     monkeypatch.setattr(D, "BLOCK", block)
@@ -61,3 +61,17 @@ def test_empty_tables_and_clashing_columns(spark, weird, nothing):
     clash = weird.selectExpr("*", "'x' as n_hit", "1 as items", "2 as _spans")
     got = D.mark(clash, items)
     assert dict(got.dtypes)["n_hit"] == "bigint" and got.columns.count("n_hit") == 1 and got.count() == weird.count()
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_with_equal_polynomials(spark):
+    """Words that every polynomial hash modulo 2^64 takes for one another, and windows that differ in such a word only."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, other), (3, f"so {other} is here"), (4, " ".join([f"w{i}" for i in range(9)] + [other])), (5, " ".join([f"w{i}" for i in range(9)] + [one]))]
+    items = [(1, one), (2, " ".join([f"w{i}" for i in range(9)] + [one]))]
+    got = D.mark(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert result(got) == brute(rows, items)

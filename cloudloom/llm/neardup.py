@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textops as X
 from .components import components
-from .storage import Scratch, anti_join, semi_join, settle
+from .storage import Scratch, anti_join, semi_join, settle, spread_join
 
 SHINGLE = 5
 BANDS, ROWS = 28, 6
@@ -62,15 +62,15 @@ def bands_for(percent: int) -> int:
     return math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS))) if percent < 100 else 1
 
 
-def shingle_sets(w: X.Words) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of every row; of a row with fewer words, the hash of all of them."""
-    g, _, ptr = X.grams(w.hashes, w.ptr, SHINGLE)
+def shingle_sets(hashes: np.ndarray, w: X.Words) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of every row, from its words' hashes; of a row with fewer words, the hash of all of them."""
+    g, _, ptr = X.grams(hashes, w.ptr, SHINGLE)
     for i in range(len(w.ptr) - 1):
         if ptr[i + 1] > ptr[i]:
             yield np.unique(g[ptr[i] : ptr[i + 1]])
         else:
             n = int(w.ptr[i + 1] - w.ptr[i])
-            yield X.grams(w.hashes[w.ptr[i] : w.ptr[i + 1]], np.array([0, n]), n)[0] if n else np.zeros(0, np.uint64)
+            yield X.grams(hashes[w.ptr[i] : w.ptr[i + 1]], np.array([0, n]), n)[0] if n else np.zeros(0, np.uint64)
 
 
 def samples(s: np.ndarray, bands: int = BANDS) -> np.ndarray:
@@ -147,7 +147,10 @@ def profile(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in X.blocks(batch.column(1)):
-                sets = list(shingle_sets(X.words(data, offs, X.SPACE, True)))
+                w = X.words(data, offs, X.SPACE, True)
+                sets = list(shingle_sets(w.hashes, w))
+                # classes are told apart by both halves of the hashes
+                prints = [hashlib.blake2b(a.tobytes() + b.tobytes(), digest_size=16).digest() if len(a) else None for a, b in zip(sets, shingle_sets(w.seconds, w), strict=True)]
                 full = np.array([len(s) > 0 for s in sets])
                 m = np.zeros((len(sets), bands * ROWS), np.uint32)
                 for i in np.flatnonzero(full).tolist():
@@ -157,7 +160,7 @@ def profile(docs: DataFrame, bands: int = BANDS) -> DataFrame:
                     [
                         batch.column(0).slice(lo, hi - lo),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                        pa.array(prints, pa.binary()),
                         listed(odd_sketches(m)),
                         listed(fine_sketches(sets)),
                         listed(X.as_long(band_keys(m))),
@@ -182,16 +185,44 @@ def _near(pairs: DataFrame, classes: DataFrame, sketch: str, bits: int, limit: C
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The full sets of the given class representatives."""
+    """The lower-cased words of the given class representatives, joined by a space."""
+    lower = bytes(X.LOWER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offs in X.blocks(batch.column(1)):
-                sets = [s.tobytes() for s in shingle_sets(X.words(data, offs, X.SPACE, True))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["node", "hashes"])
-
-    wanted = semi_join(docs.select("doc_id", "text"), nodes.select(F.col("node").alias("doc_id")), "doc_id")
-    return wanted.mapInArrow(run, "node long, hashes binary")
+            words = [b" ".join((t or "").encode().translate(lower).split()) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["node", "words"])
+
+    wanted = semi_join(docs.select("doc_id", "text"), nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
+    return wanted.mapInArrow(run, "node long, words binary")
+
+
+def exact_shingles(w: X.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of every shingle of a block; numbers are equal where the words are. Fewer words are filled up by a mark."""
+    size = np.diff(w.ptr)
+    counts = np.where(size > 0, np.maximum(size - SHINGLE + 1, 1), 0)
+    row = np.repeat(np.arange(len(size)), counts)
+    at = np.arange(len(row)) + np.repeat(w.ptr[:-1] - (np.cumsum(counts) - counts), counts)
+    key, most, mark = np.zeros(len(row), np.int64), 1, len(w.distinct)
+    for j in range(SHINGLE):
+        code = np.where(at + j < w.ptr[row + 1], w.codes[np.minimum(at + j, max(len(w.codes) - 1, 0))], mark) if len(row) else key
+        if most * (mark + 1) > 1 << 62:
+            key = np.unique(key, return_inverse=True)[1]
+            most = int(key.max(initial=0)) + 1
+        key, most = key * (mark + 1) + code, most * (mark + 1)
+    return row, np.unique(key, return_inverse=True)[1]
+
+
+def reaches(x: pa.Array, y: pa.Array, percent: int) -> np.ndarray:
+    """Whether 100 * intersection >= percent * union, of the word shingles of each two texts: by the words themselves."""
+    n = len(x)
+    text = pa.concat_arrays([x, y]).cast(pa.string())
+    row, shingle = exact_shingles(X.words(*X.raw(text), X.SPACE))
+    top = int(shingle.max(initial=0)) + 1
+    keys = [np.unique((row[m] - lo) * top + shingle[m]) for m, lo in ((row < n, 0), (row >= n, n))]
+    sizes = sum(np.bincount(k // top, minlength=n) for k in keys)
+    common = np.bincount(np.intersect1d(*keys, assume_unique=True) // top, minlength=n)
+    return 100 * common >= percent * (sizes - common)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -199,14 +230,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    at_a, at_b = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+            size = np.concatenate([[0], np.cumsum([len(x.as_buffer()) + len(y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)])])
+            lo = 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(size, size[lo] + X.BLOCK_BYTES, "right")) - 1)
+                part = batch.slice(lo, hi - lo)
+                keep = reaches(part.column(2), part.column(3), percent)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                lo = hi
+
+    at_a, at_b = sets.select(F.col("node").alias("a"), F.col("words").alias("x")), sets.select(F.col("node").alias("b"), F.col("words").alias("y"))
     return pairs.select("a", "b").join(at_a, "a").join(at_b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -217,22 +250,21 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.where("coalesce(ca, a) <> coalesce(cb, b)").drop("ca", "cb")
 
 
-def _rest(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
+def _rest(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, best: bool, m: int, s: Scratch) -> DataFrame:
     """Candidate pairs (a, b) of different components in one bucket, of which neither end is the bucket's centre.
 
-    best: of every block only the nearest of each node.
+    best: of every block only the nearest of each node. m: rows of ``buckets``.
     """
     limit = most_ones(percent)
     at = labels.select(F.col("node").alias("node"), "component")
     here = buckets.where("size > 2 and node <> centre").join(at, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = here.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    here = here.join(mixed, "bucket")
     counts = here.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     # the largest component of a bucket (role 0) is not compared with itself; block counts by role
-    counts = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n0"), F.sum("n").alias("n1"))
+    counts = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n0"), F.sum("n").alias("n1")).where("n0 < n1")
     side = F.lit(SIDE)
-    counts = counts.select("bucket", "main", F.ceil(F.col("n0") / side).cast("int").alias("b0"), F.ceil((F.col("n1") - F.col("n0")) / side).cast("int").alias("b1"))
-    here = here.join(counts, "bucket").join(classes.select("node", "n_shingles", "sketch", "fine"), "node")
+    counts = counts.select("bucket", "main", F.ceil(F.col("n0") / side).cast("int").alias("b0"), F.ceil((F.col("n1") - F.col("n0")) / side).cast("int").alias("b1"), "n1")
+    counts = s.settle(counts, "mixed")
+    here = spread_join(here, counts, "bucket", "n1", m).join(classes.select("node", "n_shingles", "sketch", "fine"), "node")
     main = F.col("component") == F.col("main")
     block = F.pmod(F.xxhash64("node"), F.when(main, F.col("b0")).otherwise(F.col("b1"))).cast("int")
     here = here.withColumn("role", F.when(main, 0).otherwise(1)).withColumn("block", block)
@@ -277,13 +309,15 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     profiles = s.settle(profile(docs, bands), "profiles")
     real = profiles.where("digest is not null and doc_id is not null")
     # one row per distinct set; what else the rows of equal sets have is equal
-    classes = real.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "fine", "bands")))
+    classes = real.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "fine", "bands")))
     n = profiles.count()
     classes = s.settle(classes, "classes", n, 20_000)
     members = classes.select("node", F.explode("bands").alias("bucket"))
     centres = members.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("centre"), F.count("*").alias("size")).where("size > 1")
-    buckets = s.settle(members.join(centres, "bucket"), "buckets", bands * n)
-    m = buckets.count()
+    centres = s.settle(centres, "centres", bands * n)
+    m = centres.agg(F.sum("size")).first()[0] or 0
+    buckets = s.settle(spread_join(members, centres.withColumn("rows", F.col("size")), "bucket", "rows", m), "buckets", bands * n)
+    s.drop(centres)
     pairs = buckets.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = s.settle(_near(pairs, classes, "sketch", SKETCH, F.lit(most_ones(percent)), percent), "pairs", m, 40_000)
     pairs, old = s.settle(_near(pairs, classes, "fine", FINE, most_fine_ones(F.col("na") + F.col("nb"), percent, F), percent), "pairs", m, 20_000), pairs
@@ -310,7 +344,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     labels = more(_apart(pairs, labels), sets, labels)
     for best in (True, False):
-        rest = s.settle(_rest(buckets, labels, classes, percent, best), "rest", m)
+        rest = s.settle(_rest(buckets, labels, classes, percent, best, m, s), "rest", m)
         used.append(rest)
         if rest.isEmpty():
             break
@@ -320,9 +354,9 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         sets = sets.union(others)
         labels = more(rest, sets, labels)
     s.drop(*used)
-    named = classes.select("digest", F.col("node").alias("class_id")).join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
-    named = named.select("digest", F.coalesce("component", "class_id").alias("component"))
-    out = profiles.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    named = classes.select("digest", F.col("node").alias("class_id"), "copies").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
+    named = s.settle(named.select("digest", F.coalesce("component", "class_id").alias("component"), "copies"), "named", n)
+    out = spread_join(profiles.select("doc_id", "n_shingles", "digest"), named, "digest", "copies", n, "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -120,6 +121,23 @@ def test_sketches_estimate():
             assert odd > N.most_ones() and fine > N.most_fine_ones(np.array(2 * n))
 
 
+def test_words_with_equal_polynomials(spark):
+    """Words that every polynomial hash modulo 2^64 takes for one another make other sets."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(3, one), (4, other), (5, one + " " + other), (6, other + " " + one), (7, one), (8, " ".join([one] * 9)), (9, " ".join([other] * 9))]
+    assert result(N.groups(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_sets_are_compared_by_words():
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(4)}" for _ in range(rng.randrange(1, 30))) for _ in range(400)]
+    x, y = texts, [" ".join(t.split()[rng.randrange(3) :] + ["w0"] * rng.randrange(3)) for t in texts]
+    for p in (5, 50, 80):
+        want = [100 * len(shingles(a) & shingles(b)) >= p * len(shingles(a) | shingles(b)) for a, b in zip(x, y, strict=True)]
+        assert N.reaches(pa.array(x).cast(pa.binary()), pa.array(y).cast(pa.binary()), p).tolist() == want and (True in want) and (False in want)
+
+
 def test_bands_suit_the_threshold():
     assert N.bands_for(85) == N.BANDS and N.bands_for(80) == 44
     assert all((1 - (p / 100) ** N.ROWS) ** N.bands_for(p) < 2e-6 for p in (50, 80, 85, 95, 99))

@@ -2,14 +2,15 @@
 
 A window is SPAN consecutive words of one document; a word goes if a window covers it that also begins earlier in the corpus.
 
-1. Exact copies of a whole document go at once: all their windows begin earlier.
+1. Of the rows with one word sequence (by 160 bits of BLAKE2b over the words) the first and, for all others, the second are looked at;
+   what goes from the second goes from its copies.
 2. Candidates: of the 6-word shingles in every window the one with the smallest hash is its anchor, so equal windows have equal
    anchors. Windows whose anchor occurs once in the corpus are unique; only the others are looked at further.
-3. The first place of every candidate window (by hash, with map-side minima) tells where its reference is. Reference shards are
+3. The first place of every candidate window (by 96 bits of hash, with map-side minima) tells where its reference is. Reference shards are
    stretches of SHARD window starts in a document, as far as they are the first place of something.
 4. Each shard's words become a suffix automaton. The runs of repeated windows that point to the shard are streamed through it for
    matching statistics; where at least SPAN words match that begin earlier, the maximal spans are removed. This compares words, not
-   hashes.
+   hashes. A second copy's runs point to the shards of the first, place by place.
 
 The reference grows with the corpus, and so a shard's automaton is not sent to every executor: shards and runs meet by a join on the
 shard, in which Spark splits frequent shards. An automaton holds SHARD + SPAN - 1 words at most.
@@ -17,6 +18,7 @@ shard, in which Spark splits frequent shards. An automaton holds SHARD + SPAN -
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as X
-from .storage import Scratch, anti_join, semi_join, split
+from .storage import Scratch, anti_join, semi_join, split, spread_join
 
 SPAN = 20
 ANCHOR = 6
@@ -115,7 +117,8 @@ def marks(docs: DataFrame, span: int) -> DataFrame:
                 fresh[wptr[:-1][wptr[:-1] < len(word)]] = True
                 row = np.repeat(np.arange(hi - lo), np.diff(wptr))[fresh]
                 ptr = np.searchsorted(row, np.arange(hi - lo + 1))
-                prints = [hashlib.blake2b(w.hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(w.ptr[:-1], w.ptr[1:], strict=True)]
+                texts = batch.column(1).slice(lo, hi - lo)
+                prints = [hashlib.blake2b(b" ".join(_word_list(t.as_py())), digest_size=20).digest() for t in texts]
                 anchors, words = X.lists(X.as_long(anchor[fresh]), ptr, pa.int64()), X.lists((word[fresh] - w.ptr[row]).astype(np.int32), ptr, pa.int32())
                 out = pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(prints, pa.binary()), anchors, words], names=["doc_id", "print", "anchors", "words"])
                 yield out.filter(pa.array(np.diff(wptr) > 0))
@@ -124,7 +127,7 @@ def marks(docs: DataFrame, span: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """Per document, the windows whose anchor is one of ``at``: hash, begin, and where the document first has it."""
+    """Per document, the windows whose anchor is one of ``at``: 96 bits of hash (h, g) and begin (p; -1 - p where the document has it earlier)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,22 +138,21 @@ def candidates(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
                 repeated = np.zeros(len(w.starts) + 1, bool)
                 sizes = at.value_lengths().to_numpy(zero_copy_only=False)
                 repeated[at.flatten().to_numpy() + np.repeat(w.ptr[:-1], sizes)] = True
-                h = X.grams(w.hashes, w.ptr, span)[0]
                 use = np.flatnonzero(repeated[word])
+                h, g = (X.grams(x, w.ptr, span)[0][use] for x in (w.hashes, w.seconds))
                 row = np.repeat(np.arange(hi - lo), np.diff(wptr))[use]
-                begin, h = begin[use] - w.ptr[row], h[use]
+                begin = begin[use] - w.ptr[row]
                 # the first place within the document
-                order = np.lexsort((begin, h, row))
-                new = np.ones(len(order), bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
-                local = np.empty(len(order), np.int64)
-                local[order] = begin[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else 0
+                order = np.lexsort((begin, g, h, row))
+                again = np.zeros(len(order), bool)
+                again[1:] = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1]) & (row[order][1:] == row[order][:-1])
+                begin[order[again]] = -1 - begin[order[again]]
                 ptr = np.searchsorted(row, np.arange(hi - lo + 1))
-                made = [X.lists(X.as_long(h), ptr, pa.int64()), X.lists(begin.astype(np.int32), ptr, pa.int32()), X.lists(local.astype(np.int32), ptr, pa.int32())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *made], names=["doc_id", "h", "p", "lp"])
+                made = [X.lists(X.as_long(h), ptr, pa.int64()), X.lists((g >> X.U64(32)).astype(np.uint32).view(np.int32), ptr, pa.int32()), X.lists(begin.astype(np.int32), ptr, pa.int32())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *made], names=["doc_id", "h", "g", "p"])
 
     near = split(docs, wanted, "doc_id")[0].join(wanted, "doc_id").select("doc_id", "text", "at")
-    return near.mapInArrow(run, "doc_id long, h array<long>, p array<int>, lp array<int>")
+    return near.mapInArrow(run, "doc_id long, h array<long>, g array<int>, p array<int>")
 
 
 def _word_list(text: str | None) -> list[bytes]:
@@ -159,14 +161,21 @@ def _word_list(text: str | None) -> list[bytes]:
 
 
 def runs(docs: DataFrame, repeats: DataFrame, span: int) -> DataFrame:
-    """(ref, shard, doc_id, lo, words): maximal runs of repeated windows of a document that point to one shard."""
+    """(ref, shard, doc_id, lo, words): maximal runs of repeated windows of a document that point to one shard.
+
+    repeats: (doc_id, found, whole); whole is the document that this one is a copy of, if it is one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 words = _word_list(batch.column(1)[i].as_py())
-                found = batch.column(2)[i].values
-                p, ref, at = (found.field(c).to_numpy() for c in ("p", "ref", "at"))
+                if (first := batch.column(3)[i].as_py()) is not None:
+                    p = at = np.arange(len(words) - span + 1)
+                    ref = np.full(len(p), first)
+                else:
+                    found = batch.column(2)[i].values
+                    p, ref, at = (found.field(c).to_numpy() for c in ("p", "ref", "at"))
                 order = np.argsort(p, kind="stable")
                 p, ref, shard = p[order], ref[order], at[order] // SHARD
                 cut = np.flatnonzero((np.diff(p) != 1) | (np.diff(ref) != 0) | (np.diff(shard) != 0)) + 1
@@ -177,36 +186,40 @@ def runs(docs: DataFrame, repeats: DataFrame, span: int) -> DataFrame:
                     names=["ref", "shard", "doc_id", "lo", "words"],
                 )
 
-    near = split(docs, repeats, "doc_id")[0].join(repeats, "doc_id").select("doc_id", "text", "found")
+    near = split(docs, repeats, "doc_id")[0].join(repeats, "doc_id").select("doc_id", "text", "found", "whole")
     return near.mapInArrow(run, "ref long, shard int, doc_id long, lo int, words binary")
 
 
 def shards(docs: DataFrame, asked: DataFrame, span: int) -> DataFrame:
-    """(ref, shard, reference): the words of the asked shards (doc_id, shards)."""
+    """(ref, shard, reference): the words of the asked shards (doc_id, shards, all: whether all are)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, numbers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc, text, numbers, whole in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 words = _word_list(text)
+                numbers = list(range(-(-(len(words) - span + 1) // SHARD))) if whole else numbers
                 texts = [b" ".join(words[n * SHARD : (n + 1) * SHARD + span - 1]) for n in numbers]
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(numbers), pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.binary())], names=["ref", "shard", "reference"])
 
-    near = split(docs, asked, "doc_id")[0].join(asked, "doc_id").select("doc_id", "text", "shards")
+    near = split(docs, asked, "doc_id")[0].join(asked, "doc_id").select("doc_id", "text", "shards", "all")
     return near.mapInArrow(run, "ref long, shard int, reference binary")
 
 
+@functools.lru_cache(64)
+def automaton(reference: bytes) -> SuffixAutomaton:
+    """The automaton of a shard; a worker keeps the last ones, as the runs of a shard need not follow one another."""
+    return SuffixAutomaton(reference.split())
+
+
 def spans(met: DataFrame, span: int) -> DataFrame:
     """(doc_id, lo, hi): what matching statistics against the shard's automaton confirm, as maximal spans of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, automaton = None, None
         for batch in batches:
             rows: list[tuple[int, int, int]] = []
             for ref, shard, doc, lo, words, reference in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-                if key != (ref, shard):  # the join hands over the runs of a shard together
-                    key, automaton = (ref, shard), SuffixAutomaton(reference.split())
                 begin = end = -1
-                for i, first in automaton.matches(words.split(), span):
+                for i, first in automaton(reference).matches(words.split(), span):
                     if ref == doc and shard * SHARD + first >= lo + i:
                         continue  # the document's own place, not an earlier one
                     if i - span + 1 > end:
@@ -225,7 +238,7 @@ NEW = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.Long
 
 
 def _strip(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Applies ``_spans`` (lo, hi, lo, hi, ...; lo -1 for everything) to each row."""
+    """Applies ``_spans`` (lo, hi, lo, hi, ...) to each row."""
     fields = [f for f in docs.schema.fields if f.name in columns]
     docs = docs.select(*columns, "_spans")
     at, names = columns.index("text"), [*columns, *(f.name for f in NEW)]
@@ -239,7 +252,6 @@ def _strip(docs: DataFrame, columns: list[str]) -> DataFrame:
                     words = _word_list(text)
                     cut: list[int] = []
                     for a, b in sorted(zip(found[::2], found[1::2], strict=True)) if found else ():
-                        a, b = (0, len(words)) if a < 0 else (a, b)
                         if cut and a <= cut[-1]:
                             cut[-1] = max(cut[-1], b)
                         else:
@@ -260,17 +272,27 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Adds n_words, n_removed, removed (lo, hi, lo, hi, ... in words) and kept_text (kept words joined by one space).
 
     "Earlier" is a smaller doc_id, or the same and an earlier begin; windows are judged on the input. Null and empty texts
-    have no words. Texts shorter than a window lose nothing. Rows with one doc_id are one document: windows at the same place
-    of it are not earlier than one another. Rows with a null doc_id are neither compared nor changed. Other columns are kept;
-    input columns with the new names are replaced.
+    have no words. Texts shorter than a window lose nothing; long texts are read whole. Rows with one doc_id and one text are one document:
+    its windows are not earlier than themselves, and all its rows lose the same. Of rows with one doc_id and different texts those with the
+    smallest 64-bit hash of the text are the document; the others are neither compared nor changed, nor are rows with a null doc_id.
+    Other columns are kept; input columns with the new names are replaced. An empty table gives an empty one.
     """
     s = Scratch(docs.sparkSession)
-    docs = docs.drop(*(f.name for f in NEW), "_spans")
+    docs = docs.drop(*(f.name for f in NEW), "_spans", "_one")
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    ids = texts.groupBy("doc_id").agg(*(f(F.xxhash64("text")).alias(f.__name__) for f in (F.min, F.max))).where("min < max").select("doc_id", F.col("min").alias("_one"))
+    ids = s.settle(ids, "ids")
+    if several := not ids.isEmpty():
+        some, others = split(texts, ids, "doc_id")
+        texts = others.unionByName(some.join(ids, "doc_id", "left").where("_one is null or _one = xxhash64(text)").drop("_one"))
     marked = s.settle(marks(texts, span), "marks")
     n = marked.count()
-    firsts = marked.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("print", "first")
-    copies = s.settle(marked.select("print", "doc_id").join(firsts, "print").where("doc_id > first").select("doc_id").distinct(), "copies", n)
+    prints = s.settle(marked.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last"), "prints", n)
+    # one row per copy: the document it repeats, and the second of the group, which stands for all but the first
+    copies = s.settle(spread_join(marked.select("print", "doc_id"), prints.drop("last"), "print", "n", n).where("doc_id > first"), "all-copies", n)
+    seconds = copies.groupBy("print").agg(F.min("doc_id").alias("second"), F.count("*").alias("n"))
+    old, copies = copies, s.settle(spread_join(copies, s.settle(seconds, "seconds", n), "print", "n", n).groupBy("doc_id").agg(F.min("first").alias("first"), F.min("second").alias("second")), "copies", n)
+    s.drop(prints, old)
     single = anti_join(marked, copies, "doc_id")
     anchors = single.select("doc_id", F.explode(F.arrays_zip("anchors", "words")).alias("a")).select("doc_id", F.col("a.anchors").alias("anchor"), F.col("a.words").alias("word"))
     repeated = s.settle(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
@@ -279,23 +301,43 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     s.drop(marked, repeated)
     windows = s.settle(candidates(texts, wanted, span), "windows")
     s.drop(wanted)
-    each = windows.select("doc_id", F.explode(F.arrays_zip("h", "p", "lp")).alias("w")).select("doc_id", F.col("w.h").alias("h"), F.col("w.p").alias("p"), F.col("w.lp").alias("lp"))
-    origin = each.groupBy("h").agg(F.min("doc_id").alias("ref"), F.min_by("lp", "doc_id").alias("at"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = each.join(origin, "h").where("doc_id > ref or doc_id = ref and p > at").select("doc_id", "p", "ref", "at")
-    later = s.settle(later, "later")
-    s.drop(windows)
-    repeats = later.groupBy("doc_id").agg(F.collect_list(F.struct("p", "ref", "at")).alias("found"))
+    each = windows.select("doc_id", F.explode(F.arrays_zip("h", "g", "p")).alias("w")).select("doc_id", F.col("w.h").alias("h"), F.col("w.g").alias("g"), F.col("w.p").alias("p"))
+    place = F.when(F.col("p") >= 0, F.col("p"))
+    origin = each.groupBy("h", "g").agg(F.min("doc_id").alias("ref"), F.min_by(place, F.when(place.isNotNull(), F.col("doc_id"))).alias("at"), F.count("*").alias("n")).where("n > 1")
+    origin = s.settle(origin, "origin")
+    total = origin.agg(F.sum("n")).first()[0] or 0
+    later = spread_join(each, origin, ["h", "g"], "n", total).withColumn("p", F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.col("p")))
+    later = s.settle(later.where("doc_id > ref or doc_id = ref and p > at").select("doc_id", "p", "ref", "at"), "later")
+    s.drop(windows, origin)
+    # of a group of copies the second's windows point to the first's
+    whole = copies.where("doc_id = second").select("doc_id", F.col("first").alias("whole"))
+    repeats = later.groupBy("doc_id").agg(F.collect_list(F.struct("p", "ref", "at")).alias("found")).join(whole, "doc_id", "full")
     asked = later.select("ref", F.floor(F.col("at") / SHARD).cast("int").alias("shard")).distinct()
     asked = asked.groupBy(F.col("ref").alias("doc_id")).agg(F.collect_list("shard").alias("shards"))
+    # all shards of a document that has copies
+    firsts = whole.select(F.col("whole").alias("doc_id")).distinct().withColumn("all", F.lit(True))
+    asked = asked.join(firsts, "doc_id", "full")
     repeats, asked = s.settle(repeats, "repeats", n, 5000), s.settle(asked, "asked", n, 20_000)
     s.drop(later)
     streams, references = s.settle(runs(texts, repeats, span), "runs"), s.settle(shards(texts, asked, span), "shards")
     s.drop(repeats, asked)
-    found = spans(streams.join(references, ["ref", "shard"]), span)
-    whole = copies.select("doc_id", F.lit(-1).alias("lo"), F.lit(0).alias("hi"))
-    found = found.unionByName(whole).groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias("_spans"))
-    found = s.settle(found, "spans", n, 20_000)
-    s.drop(streams, references, copies)
+    asks = s.settle(streams.groupBy("ref", "shard").agg(F.count("*").alias("n")), "asks")
+    total = asks.agg(F.sum("n")).first()[0] or 0
+    references = references.join(asks, ["ref", "shard"])
+    found = s.settle(spans(spread_join(streams, references, ["ref", "shard"], "n", total), span), "found")
+    s.drop(asks, streams)
+    found = found.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias("_spans"))
+    # what goes from the second copy goes from the others
+    own = s.settle(found, "own", n, 20_000)
+    others = copies.where("doc_id > second").select("doc_id", F.col("second"))
+    seconds = own.join(others.groupBy("second").agg(F.count("*").alias("n")).withColumnRenamed("second", "doc_id"), "doc_id").withColumnRenamed("doc_id", "second")
+    seconds = s.settle(seconds, "second-spans", n, 20_000)
+    theirs = spread_join(others, seconds, "second", "n", n).select("doc_id", "_spans")
+    found = s.settle(own.unionByName(theirs), "spans", n, 20_000)
+    s.drop(own, seconds, copies)
     touched, untouched = split(docs, found, "doc_id")
-    touched = touched.join(found, "doc_id", "left").select(*docs.columns, "_spans")
+    touched = touched.join(found, "doc_id", "left")
+    if several:
+        touched = touched.join(ids, "doc_id", "left").withColumn("_spans", F.when(F.expr("_one is null or _one = xxhash64(text)"), F.col("_spans")))
+    touched = touched.select(*docs.columns, "_spans")
     return _strip(touched.unionByName(untouched.withColumn("_spans", F.lit(None).cast("array<int>"))), docs.columns)

@@ -25,8 +25,10 @@ from pyspark.sql import types as T
 from . import textops as X
 from .storage import small_batches
 
-#: Elements whose text is never rendered.
-SILENT = {"script", "style", "noscript", "template", "head", "svg", "iframe", "object", "textarea", "select", "canvas", "math"}
+#: Elements whose text is never rendered as text, or is a form control's. Without an end tag they hold nothing.
+SILENT = {"script", "style", "noscript", "template", "head", "svg", "iframe", "textarea", "select", "canvas"}
+#: Of these the content may go on to the end of the page.
+ENDLESS = {"script", "style"}
 #: What can stand in a head; any other start tag, and text, ends an open one.
 HEADED = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 #: Of these the content isn't mark-up: everything up to the end tag is skipped.
@@ -77,10 +79,23 @@ AT = {f: i for i, f in enumerate(FEATURES)}
 
 
 class Element:
-    __slots__ = ("tag", "roles")
+    """An open element; ``known`` are the features (bits) that it and its ancestors give to a block, ``inside`` tells whether one is the main part."""
 
-    def __init__(self, tag: str, roles: tuple[str, ...]):
-        self.tag, self.roles = tag, roles
+    __slots__ = ("tag", "roles", "parent", "known", "inside", "near")
+
+    def __init__(self, tag: str, roles: tuple[str, ...], parent: Element | None):
+        self.tag, self.roles, self.parent = tag, roles, parent
+        inside = parent.inside if parent else False
+        known = parent.known if parent else 1 << AT["bias"]
+        for name in (f"in:{tag}", *(f"role:{r}" for r in roles), *([f"role-inside-main:{r}" for r in roles] if inside else ()), *([f"{tag}-in-article"] if inside else ())):
+            if name in AT:
+                known |= 1 << AT[name]
+        self.known, self.inside = known, inside or tag in ("article", "main") or "main" in roles
+        self.near = tag if tag not in INLINE or tag == "a" else parent.near if parent else "body"
+
+    def features(self) -> list[int]:
+        known = self.known | (1 << AT[near] if (near := f"near:{self.near}") in AT else 0)
+        return [i for i in range(len(FEATURES)) if known >> i & 1]
 
 
 def _roles(attributes: str) -> tuple[str, ...]:
@@ -89,15 +104,14 @@ def _roles(attributes: str) -> tuple[str, ...]:
         if m[1].lower() in ("class", "id", "role", "aria-label", "itemprop"):
             words = set(HINTS.findall((m[2] or m[3] or m[4] or "").lower()))
             found.update(r for r, names in ROLES.items() if words & names)
-        elif m[1].lower() in ("hidden", "aria-hidden"):
-            pass
     return tuple(sorted(found))
 
 
-def leaf_blocks(page: str) -> list[tuple[str, int, tuple[Element, ...]]]:
-    """(text, characters inside links, ancestors) of every block that has text, in page order."""
+def leaf_blocks(page: str) -> list[tuple[str, int, Element | None]]:
+    """(text, characters inside links, innermost element) of every block that has text, in page order."""
     stack: list[Element] = []
-    out: list[tuple[str, int, tuple[Element, ...]]] = []
+    out: list[tuple[str, int, Element | None]] = []
+    ends: dict[str, int] = {}
     parts: list[str] = []
     linked = links = at = silent = 0
     known: dict[str, tuple[str, ...]] = {}
@@ -107,7 +121,7 @@ def leaf_blocks(page: str) -> list[tuple[str, int, tuple[Element, ...]]]:
         if parts:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append((text, linked, tuple(stack)))
+                out.append((text, linked, stack[-1] if stack else None))
             parts.clear()
         linked = 0
 
@@ -150,6 +164,12 @@ def leaf_blocks(page: str) -> list[tuple[str, int, tuple[Element, ...]]]:
             if tag in ("br", "hr"):
                 add(" ")
             continue
+        if tag in SILENT | RAW and tag not in ENDLESS and tag != "head":
+            # an element that is never closed hides nothing
+            if tag not in ends:
+                ends[tag] = max((e.start() for e in re.finditer(rf"</{re.escape(tag)}(?=[\s/>])", page, re.I)), default=-1)
+            if ends[tag] < at:
+                continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -164,7 +184,7 @@ def leaf_blocks(page: str) -> list[tuple[str, int, tuple[Element, ...]]]:
             continue
         if m[3] not in known:
             known[m[3]] = _roles(m[3]) if "=" in m[3] else ()
-        stack.append(Element(tag, known[m[3]]))
+        stack.append(Element(tag, known[m[3]], stack[-1] if stack else None))
         links += tag == "a"
         silent += tag in SILENT
     add(page[at:])
@@ -172,28 +192,15 @@ def leaf_blocks(page: str) -> list[tuple[str, int, tuple[Element, ...]]]:
     return out
 
 
-def featurise(blocks: list[tuple[str, int, tuple[Element, ...]]]) -> list[list[int]]:
+def featurise(blocks: list[tuple[str, int, Element | None]]) -> list[list[int]]:
     """The features that hold for each block."""
     rows = []
     seen: dict[int, list[int]] = {}
-    for i, (text, linked, path) in enumerate(blocks):
-        key = id(path[-1]) if path else 0
+    outside = [AT["bias"], AT["near:body"]]
+    for i, (text, linked, element) in enumerate(blocks):
+        key = id(element)
         if key not in seen:
-            own = {0}
-            inside = False
-            for e in path:
-                if f"in:{e.tag}" in AT:
-                    own.add(AT[f"in:{e.tag}"])
-                own.update(AT[f"role:{r}"] for r in e.roles)
-                if inside:
-                    own.update(AT[f"role-inside-main:{r}"] for r in e.roles)
-                    if e.tag in ("header", "footer"):
-                        own.add(AT[f"{e.tag}-in-article"])
-                inside |= e.tag in ("article", "main") or "main" in e.roles
-            near = next((e.tag for e in reversed(path) if e.tag not in INLINE or e.tag == "a"), "body")
-            if f"near:{near}" in AT:
-                own.add(AT[f"near:{near}"])
-            seen[key] = sorted(own)
+            seen[key] = element.features() if element else outside
         row, n = list(seen[key]), len(text)
         if linked > 0.8 * n:
             row.append(AT["linked"])
@@ -320,7 +327,8 @@ def labelled_pages(n: int, seed: int = 2) -> Iterator[tuple[str, list[int]]]:
         def one(m: re.Match) -> str:
             kind = m[1]
             if kind == "c":
-                name = rng.choice(sorted(ROLES[role]))
+                # names that tell nothing too: a part is then known by its tags, its text and its place
+                name = rng.choice(sorted(ROLES[role])) if rng.random() < 0.85 else word()
                 return rng.choice([name, f"{name}-{word()}", f"{word()} {name}", f"{word()}_{name}"])
             if kind in ("links", "items"):
                 wrap = "<li>{}</li>" if kind == "items" or rng.random() < 0.6 else "{}"
@@ -338,7 +346,7 @@ def labelled_pages(n: int, seed: int = 2) -> Iterator[tuple[str, list[int]]]:
         body = ""
         for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 12])):
             body += fill(pick(_BODY), "main")
-            if rng.random() < 0.08:
+            if rng.random() < 0.15:
                 body += part("advert", "side", "form", "share", "notice")
         if rng.random() < 0.15:
             body += part("share", "comment", "side")
@@ -362,7 +370,8 @@ def main_text(page: str | None, chain: Chain) -> str:
 def extract(pages: DataFrame, chain: Chain, html: str = "html", column: str = "text") -> DataFrame:
     """Adds the main text to every row, from the whole page; null and empty pages, and pages without main text, have an empty one.
 
-    Rows are independent: repeats and ties need no rule. An input column named like ``column`` is replaced.
+    An unclosed head ends where its content can't go on; of other unclosed elements that aren't shown the text is kept. Text of objects and of
+    mathematics is text; that of form controls isn't. Rows are independent: repeats and ties need no rule. An empty table gives an empty one. An input column named like ``column`` is replaced.
     """
     small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(chain)  # a few hundred weights

@@ -69,3 +69,24 @@ def test_open_head(chain, head, body):
 def test_text_ends_head():
     assert [b[0] for b in H.leaf_blocks("<html><head><title>T</title> \n Plain text.<p>More.")] == ["Plain text.", "More."]
     assert H.leaf_blocks("<head><title>T</title><style>p{}</style></head>") == []
+
+
+@pytest.mark.parametrize("opened", ["<svg><path d=x>", "<object data=x>", "<canvas>", "<noscript>", "<iframe src=x>", "<select>", "<textarea>", "<template>", "<math>"])
+def test_unclosed_silent_elements(chain, opened):
+    """They don't swallow what follows."""
+    page = PAGE.replace("<p>Unclosed", opened + "<p>Unclosed").replace("</style>", "</style>", 1)
+    assert "Last paragraph of the story" in H.main_text(page, chain) and "Unclosed <tag> text" in H.main_text(page, chain)
+
+
+def test_objects_and_mathematics(chain):
+    page = PAGE.replace("<b>bo</b>ld", "<b>bo</b>ld <math><mi>x</mi></math> <object data=f>shown instead</object>")
+    assert "x" in H.main_text(page, chain).split() and "shown instead" in H.main_text(page, chain)
+
+
+def test_deep_pages_are_fast(chain):
+    import time
+
+    page = "".join(f'<div class="a{i}"><p>text {i} here</p>' for i in range(20_000))
+    start = time.time()
+    H.main_text(page, chain)
+    assert time.time() - start < 20

@@ -13,11 +13,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int, graded: bool = False) -> list[tuple[int, str]]:
-    """(label, text) of at most ``per_class`` labelled rows of each value 0 and 1 (graded: 0, 1, 2, ...), the same rows on every run.
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, graded: bool = False) -> list[tuple[int, str]]:
+    """(label, text) of at most ``per_class`` labelled documents of each value 0 and 1 (graded: 0, 1, 2, ...), the same on every run.
 
-    Rows are drawn by a hash of doc_id among those that are not held out. Of a text longer than ``chars`` code points, four
-    evenly spaced pieces of a quarter of that are taken, so that the sample is bounded in bytes too. Only learning is sampled.
+    Documents are drawn by a hash of doc_id among those that are not held out, and their texts are whole. Of rows that share a doc_id the
+    smallest text is the document's. Only learning is sampled.
     """
     fits = (F.col(label) >= 0) & (F.col(label) % 1 == 0) if graded else F.col(label).isin(0, 1)
     known = labels.where(fits & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
@@ -27,8 +27,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars
         return []
     drawn = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in values]
     few = F.broadcast(functools.reduce(DataFrame.union, drawn))  # per_class rows of each value at most
-    n, q = F.length("text"), chars // 4
-    pieces = F.concat_ws(" ", *(F.substring(F.col("text"), (F.floor((n - q) * k / 3) + 1).cast("int"), F.lit(q)) for k in range(4)))
-    text = F.when(n <= chars, F.col("text")).otherwise(pieces)
-    rows = docs.select("doc_id", "text").where("text is not null").join(few, "doc_id").select("doc_id", "label", text.alias("text")).collect()
-    return [(r.label, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    rows = docs.select("doc_id", "text").where("text is not null").join(few, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    return [(r.label, r.text) for r in sorted(rows, key=lambda r: r.doc_id)]

@@ -100,8 +100,8 @@ class Vocabulary:
         return out[w.codes]
 
 
-def word_digests(words: pa.Array) -> np.ndarray:
-    """128-bit hashes (n, 2) of words."""
+def word_digests(words: pa.Array, cut: int | None = None) -> np.ndarray:
+    """128-bit hashes (n, 2) of words, or of their first ``cut`` bytes (SHORT at most)."""
     n = len(words)
     out = np.empty((n, 2), U64)
     if not n:
@@ -111,7 +111,7 @@ def word_digests(words: pa.Array) -> np.ndarray:
     padded = np.zeros(int(offs[-1]) + 8, np.uint8)
     padded[:-8] = np.frombuffer(data, np.uint8)[: offs[-1]]
     lanes = np.lib.stride_tricks.as_strided(padded[:8].view(U64), (len(padded) - 7,), (1,))
-    length = np.diff(offs)
+    length = np.diff(offs) if cut is None else np.minimum(np.diff(offs), cut)
     out[:, 0], out[:, 1] = mix(length.astype(U64) ^ U64(0x452821E638D01377)), mix(length.astype(U64) ^ U64(0xBE5466CF34E90C6C))
     for at in range(0, SHORT, 8):
         some = np.flatnonzero((length > at) & (length <= SHORT))

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,11 +27,11 @@ BITS = 20
 PLACES = 1 << BITS
 #: Bytes of the word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7, 8, 9, 10, 12)
-#: Learning reads at most this many labelled documents of each class or grade, and this many code points of each.
-PER_CLASS, CHARS = 1500, 6000
-#: Features that are weighed: those that tell the classes apart best, of those in at least MIN_DOCS documents.
-CHOSEN, MIN_DOCS = 1500, 4
+#: Learning reads at most this many labelled documents of each class or grade.
+PER_CLASS = 1500
 STEPS, PENALTY = 300, 0.001
+#: Features are weighed if their share among the classes differs by this chi-squared statistic (one in ten thousand do by chance).
+SIGNIFICANT = 15.14
 #: What tells the classes apart less than this is penalised more, and the other way round: rare words of single documents stay small.
 TELLING, POWER = 100.0, 1.0
 #: A document counts as toxic from this P(grade > 0) on: a missed one costs more than a false alarm.
@@ -39,18 +40,20 @@ DECISION = 0.2
 Model = dict[str, np.ndarray]
 
 
-def _places(data: np.ndarray, w: X.Words) -> np.ndarray:
+def _places(w: X.Words) -> np.ndarray:
     """Places (1 + beginnings, words) of every word and of its beginnings; -1 where it has no longer one."""
-    h = X.span_hashes(X.LOWER[data], w.starts, w.ends, BEGINNINGS)
-    place = np.concatenate([w.hashes[None], X.mix(h ^ np.uint64(0x5851F42D4C957F2D))]) >> np.uint64(64 - BITS)
-    place = place.astype(np.int64)
-    place[1:][np.array(BEGINNINGS)[:, None] >= (w.ends - w.starts)[None]] = -1
-    return place
+    length = pc.binary_length(w.distinct).to_numpy(zero_copy_only=False)
+    place = np.empty((1 + len(BEGINNINGS), len(length)), np.int64)
+    place[0] = X.word_digests(w.distinct)[:, 0] >> np.uint64(64 - BITS)
+    for i, cut in enumerate(BEGINNINGS):
+        place[i + 1] = X.mix(X.word_digests(w.distinct, cut)[:, 0] ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - BITS)
+        place[i + 1, length <= cut] = -1
+    return place[:, w.codes]
 
 
-def features(data: np.ndarray, w: X.Words, weighed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def features(w: X.Words, weighed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, place) of every feature of every row; with ``weighed``, of those places and of what two words share there."""
-    place = _places(data, w)
+    place = _places(w)
     n = place.shape[0]
     row = np.tile(np.repeat(np.arange(len(w.ptr) - 1), np.diff(w.ptr)), n)
     word = np.tile(w.hashes, n)
@@ -76,7 +79,7 @@ def shared_place(place: np.ndarray) -> np.ndarray:
     return (place * 0x2545F491 + 0x1337) % PLACES
 
 
-def _grades(y: np.ndarray, row: np.ndarray, place: np.ndarray, data: np.ndarray, words: X.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _grades(y: np.ndarray, row: np.ndarray, place: np.ndarray, words: X.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The chosen places, how well each tells the classes apart, and the grades of binary labels."""
     toxic = y > 0
     inside = np.bincount(place[toxic[row]], minlength=PLACES)
@@ -86,15 +89,13 @@ def _grades(y: np.ndarray, row: np.ndarray, place: np.ndarray, data: np.ndarray,
     # the square of the difference in share, by its variance
     share = both / (n1 + n0)
     apart = (inside / n1 - outside / n0) ** 2 / np.maximum(share * (1 - share) * (1 / n1 + 1 / n0), 1e-12)
-    apart[both < MIN_DOCS] = 0
-    chosen = np.argsort(-apart, kind="stable")[:CHOSEN]
-    chosen = np.sort(chosen[apart[chosen] > 0])
+    chosen = np.flatnonzero(apart > SIGNIFICANT)
     if len(np.unique(y)) > 2 or not toxic.any():
         return chosen, apart[chosen], y
     telling = np.zeros(PLACES + 1, bool)  # the last: no place
     odds = np.log((inside + 0.5) / (n1 + 1)) - np.log((outside + 0.5) / (n0 + 1))
     telling[chosen[(odds[chosen] > np.log(4)) & (apart[chosen] > 10)]] = True
-    hit = telling[_places(data, words)].any(axis=0)
+    hit = telling[_places(words)].any(axis=0)
     row_of = np.repeat(np.arange(len(y)), np.diff(words.ptr))[hit]
     # distinct ones: the features are presences too, so that more of them can mean a higher grade
     hits = np.bincount(np.divmod(np.unique(row_of * PLACES + (words.hashes[hit] >> np.uint64(64 - BITS)).astype(np.int64)), PLACES)[0], minlength=len(y))
@@ -107,18 +108,17 @@ def learn(rows: list[tuple[int, str]], prior: float) -> Model:
     column = pa.array([t for _, t in rows], pa.string())
     data, offs = X.raw(column)
     words = X.words(data, offs, X.ALNUM, True)
-    row, place = features(data, words)
+    row, place = features(words)
     y = np.array([v for v, _ in rows], np.int64)
     weights = np.zeros(PLACES, np.float32)
     prior = min(max(prior, 0.01), 0.99)
     if len(np.unique(y)) < 2:
         return {"weights": weights, "thresholds": np.array([np.log(prior / (1 - prior))])}
-    chosen, apart, grade = _grades(y, row, place, data, words)
+    chosen, apart, grade = _grades(y, row, place, words)
     index = np.full(PLACES, -1)
     index[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(y), len(chosen)), np.float32)
     known = index[place] >= 0
-    x[row[known], index[place[known]]] = 1
+    row, column = row[known], index[place[known]]  # the features are sparse and all ones
     top = int(grade.max())
     w = np.zeros(len(chosen))
     first, steps = np.zeros(1), np.zeros(top - 1)  # t1, and the logarithms of the steps between thresholds
@@ -126,7 +126,7 @@ def learn(rows: list[tuple[int, str]], prior: float) -> Model:
     for t in range(1, STEPS + 1):
         gaps = np.exp(steps)
         cut = first + np.concatenate([[0], np.cumsum(gaps)])
-        p = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - cut, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column], len(y))[:, None] - cut, -30, 30)))
         p = np.concatenate([np.ones((len(y), 1)), p, np.zeros((len(y), 1))], axis=1)
         mass = np.maximum(p[np.arange(len(y)), grade] - p[np.arange(len(y)), grade + 1], 1e-9)
         # d log P(grade) / d (w.x - t_k): the density at the upper edge counts up, at the lower edge down
@@ -136,7 +136,7 @@ def learn(rows: list[tuple[int, str]], prior: float) -> Model:
         d[np.arange(len(y)), grade + 1] = -s[np.arange(len(y)), grade + 1] / mass
         d = d[:, 1:-1] / len(y)
         by_cut = -d.sum(0)
-        grads = (-(x.T @ d.sum(1)) + PENALTY * (TELLING / apart) ** POWER * w, -by_cut.sum(keepdims=True), -np.cumsum(by_cut[::-1])[::-1][1:] * gaps)
+        grads = (-np.bincount(column, d.sum(1)[row], len(chosen)) + PENALTY * (TELLING / apart) ** POWER * w, -by_cut.sum(keepdims=True), -np.cumsum(by_cut[::-1])[::-1][1:] * gaps)
         for (value, m, v), g in zip(state, grads, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -152,12 +152,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     """A model from a bounded sample of the labelled rows that are not held out; the classes' shares come from all of these."""
     used = labels.where(F.col("toxic").isNotNull()).where(~held_out(F.col("doc_id")))
     prior = used.agg(F.avg(F.when(F.col("toxic") == 0, 1).otherwise(0))).first()[0]
-    return learn(sample(docs, labels, "toxic", per_class, CHARS, graded=True), 0.9 if prior is None else prior)
+    return learn(sample(docs, labels, "toxic", per_class, graded=True), 0.9 if prior is None else prior)
 
 
-def above(data: np.ndarray, w: X.Words, model: Model) -> np.ndarray:
+def above(w: X.Words, model: Model) -> np.ndarray:
     """P(grade > k) of every row, (rows, thresholds)."""
-    row, place = features(data, w, model["weights"] != 0)
+    row, place = features(w, model["weights"] != 0)
     value = model["weights"][place]
     z = np.bincount(row, weights=value, minlength=len(w.ptr) - 1)
     return 1 / (1 + np.exp(-np.clip(z[:, None] - model["thresholds"], -500, 500)))
@@ -169,8 +169,8 @@ NEW = [T.StructField("severity", T.DoubleType()), T.StructField("grade", T.Integ
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Adds severity (the expected grade), grade (the likeliest) and toxic (P(grade > 0) >= DECISION) to every row.
 
-    Whole texts are read. Null counts as empty; an empty text is scored by the thresholds alone. Input columns of these names are
-    replaced. Rows are independent: repeats and ties need no rule.
+    Whole texts are read, however long. Null counts as empty; an empty text is scored by the thresholds alone. Input columns of these names
+    are replaced. Rows are independent: repeats and ties need no rule. An empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the input
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in X.blocks(batch.column(at)):
-                p = above(data, X.words(data, offs, X.ALNUM, True), shared.value)
+                p = above(X.words(data, offs, X.ALNUM, True), shared.value)
                 edges = np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], axis=1)
                 grade = (edges[:, :-1] - edges[:, 1:]).argmax(axis=1)
                 made = [pa.array(p.sum(axis=1), pa.float64()), pa.array(grade, pa.int32()), pa.array(p[:, 0] >= DECISION, pa.bool_())]
@@ -190,6 +190,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, severity, grade and toxic of every row."""
+    """doc_id, held_out, severity, grade and toxic of every row, one for each input row, repeated ones too.
+
+    Rows with a null doc_id are scored, and count as held out. Null and negative labels are left out; of a doc_id that is labelled twice the
+    larger label counts. Without labels, or with one value only, every severity is the same. Other columns are not read.
+    """
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *(f.name for f in NEW))

@@ -22,9 +22,11 @@ from .storage import small_batches
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 6, 24, 16
 CHUNK = 256
 HALF = CHUNK // 2
-#: Learning reads at most this many labelled documents of each class, and this many code points of each.
-PER_CLASS, CHARS = 1200, 4000
-EPOCHS, BATCH, CROP = 6, 32, 1024
+#: Learning reads at most this many labelled documents of each class.
+PER_CLASS = 1200
+EPOCHS, BATCH = 6, 32
+#: Halves of chunks whose windows are held at once while filters are learnt.
+HALVES = 1024
 
 Weights = dict[str, np.ndarray]
 
@@ -84,42 +86,57 @@ class Adam:
             self.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
 
 
+def _halves(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All consecutive HALF bytes of the texts, each with the WIDTH bytes after it, the text of each, and how many of its windows are text."""
+    counts = [-(-len(t) // HALF) for t in texts]
+    out = np.zeros((sum(counts), HALF + WIDTH), np.uint8)
+    own = np.zeros(len(out), np.int64)
+    at = 0
+    for t, n in zip(texts, counts, strict=True):
+        padded = np.zeros(n * HALF + WIDTH, np.uint8)
+        padded[: len(t)] = t
+        out[at : at + n] = np.lib.stride_tricks.as_strided(padded, (n, HALF + WIDTH), (HALF, 1))
+        own[at : at + n] = [-(-min(HALF, len(t) - i * HALF) // STRIDE) for i in range(n)]
+        at += n
+    return out, np.repeat(np.arange(len(texts)), counts), own
+
+
 def _learn_filters(texts: list[np.ndarray], y: np.ndarray, rng: np.random.Generator) -> Weights:
-    """Embedding, filters and bias, learnt through a linear head over mean-pooled chunks of random crops."""
+    """Embedding, filters and bias, learnt through a linear head over the mean of the whole text's max-pooled halves."""
     w = {
         "embed": rng.normal(0, 0.5, (256, EMBED)).astype(np.float32),
         "filters": rng.normal(0, (WIDTH * EMBED) ** -0.5, (WIDTH * EMBED, FILTERS)).astype(np.float32),
         "bias": np.zeros(FILTERS, np.float32), "head": np.zeros(FILTERS, np.float32), "shift": np.zeros(1, np.float32),
     }
-    adam, per = Adam(w, 0.01), CROP // STRIDE
+    adam, per = Adam(w, 0.01), HALF // STRIDE
     for _ in range(EPOCHS):
         for batch in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // BATCH)):
-            crops = np.zeros((len(batch), CROP + WIDTH), np.uint8)
-            for row, i in enumerate(batch):
-                d = texts[i]
-                at = rng.integers(0, max(1, len(d) - CROP + 1))
-                crops[row, : min(CROP, len(d) - at)] = d[at : at + CROP]
-            e = w["embed"][crops]
-            view = np.lib.stride_tricks.as_strided(e, (len(batch), per, WIDTH * EMBED), (e.strides[0], STRIDE * e.strides[1], e.strides[2]))
-            x = np.ascontiguousarray(view).reshape(-1, WIDTH * EMBED)
-            r = (x @ w["filters"]).reshape(len(batch), CROP // CHUNK, CHUNK // STRIDE, FILTERS)
-            best = r.argmax(axis=2)
-            top = np.take_along_axis(r, best[:, :, None], axis=2)[:, :, 0] + w["bias"]
-            features = np.maximum(top, 0).mean(axis=1)
+            crops, text, own = _halves([texts[i] for i in batch])
+            n = np.maximum(np.bincount(text, minlength=len(batch)), 1)[:, None]
+            best, top = np.zeros((len(crops), FILTERS), np.int64), np.zeros((len(crops), FILTERS), np.float32)
+            for i in range(0, len(crops), HALVES):
+                e = w["embed"][crops[i : i + HALVES]]
+                view = np.lib.stride_tricks.as_strided(e, (len(e), per, WIDTH * EMBED), (e.strides[0], STRIDE * e.strides[1], e.strides[2]))
+                r = (np.ascontiguousarray(view).reshape(-1, WIDTH * EMBED) @ w["filters"]).reshape(len(e), per, FILTERS)
+                r[np.arange(per) >= own[i : i + HALVES, None]] = -np.inf  # windows that begin after the text's end
+                best[i : i + HALVES] = r.argmax(axis=1)
+                top[i : i + HALVES] = np.take_along_axis(r, best[i : i + HALVES, None], axis=1)[:, 0] + w["bias"]
+            mean = lambda a: np.stack([np.bincount(text, a[:, f], len(batch)) for f in range(FILTERS)], axis=1) / n  # noqa: E731, B023
+            features = mean(np.maximum(top, 0))
             p = 1 / (1 + np.exp(-np.clip(features @ w["head"] + w["shift"], -30, 30)))
             d = (p - y[batch]).astype(np.float32) / len(batch)
-            back = (d[:, None, None] * w["head"] / top.shape[1]) * (top > 0)
-            base = (np.arange(len(batch))[:, None] * per + np.arange(CROP // CHUNK) * (CHUNK // STRIDE))[:, :, None]
-            at = (base + best).reshape(-1, FILTERS)
-            flat = back.reshape(-1, FILTERS).astype(np.float32)
-            g_filters = np.stack([x[at[:, f]].T @ flat[:, f] for f in range(FILTERS)], axis=1)
-            g_embed = np.zeros_like(w["embed"])
-            row, pos = np.divmod(at, per)
-            for k in range(WIDTH):
-                byte = crops[row, pos * STRIDE + k]
-                part = flat[:, :, None] * w["filters"][k * EMBED : (k + 1) * EMBED].T[None]
-                np.add.at(g_embed, byte.ravel(), part.reshape(-1, EMBED))
-            adam.step({"embed": g_embed, "filters": g_filters, "bias": back.sum((0, 1)).astype(np.float32), "head": (features.T @ d).astype(np.float32), "shift": d.sum(keepdims=True)})
+            back = ((d / n[:, 0])[text, None] * w["head"] * (top > 0)).astype(np.float32)
+            g_filters, g_embed = np.zeros_like(w["filters"]), np.zeros_like(w["embed"])
+            for i in range(0, len(crops), HALVES):
+                part, flat = crops[i : i + HALVES], back[i : i + HALVES]
+                for k in range(WIDTH):
+                    byte = np.take_along_axis(part, best[i : i + HALVES] * STRIDE + k, axis=1)
+                    rows = slice(k * EMBED, (k + 1) * EMBED)
+                    g_filters[rows] += np.einsum("hfe,hf->ef", w["embed"][byte], flat, optimize=True)
+                    shares = flat[:, :, None] * w["filters"][rows].T[None]
+                    for c in range(EMBED):
+                        g_embed[:, c] += np.bincount(byte.ravel(), shares[:, :, c].ravel(), 256).astype(np.float32)
+            adam.step({"embed": g_embed, "filters": g_filters, "bias": back.sum(0), "head": (features.T @ d).astype(np.float32), "shift": d.sum(keepdims=True)})
     return w
 
 
@@ -165,11 +182,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Wei
     """Weights from a bounded sample of the labelled rows that are not held out; the classes' shares come from all of these."""
     used = labels.where(F.col("quality").isin(0, 1)).where(~held_out(F.col("doc_id")))
     prior = used.agg(F.avg("quality")).first()[0]
-    return learn(sample(docs, labels, "quality", per_class, CHARS), 0.5 if prior is None else prior)
+    return learn(sample(docs, labels, "quality", per_class), 0.5 if prior is None else prior)
 
 
 def score(docs: DataFrame, weights: Weights, column: str = "score") -> DataFrame:
-    """Adds the probability of label 1 to every row, from the whole text alone. Null counts as empty; an empty text has a score."""
+    """Adds the probability of label 1 to every row, from the whole text alone.
+
+    Null counts as empty, and an empty text has a score; long texts are read whole. Rows are independent: repeats and ties need no rule. An
+    empty table gives an empty one, and an input column named like ``column`` is replaced.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # some 40 KB, whatever the input
     docs = docs.drop(column)
@@ -186,12 +207,19 @@ def score(docs: DataFrame, weights: Weights, column: str = "score") -> DataFrame
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; rows with a null doc_id are scored too, and count as held out."""
+    """doc_id, held_out, score and predicted of every row, one for each input row, repeated ones too.
+
+    Rows with a null doc_id are scored, and count as held out. Null labels are left out; of a doc_id that is labelled twice the larger label
+    counts. Without labels every score is the same. Other columns are not read.
+    """
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject, unchanged."""
+    """The documents that the classifier doesn't reject (a score of 0.5 or more), with all their columns, unchanged.
+
+    Null, empty and long texts are judged as :func:`score` does, repeated rows alike. An empty table stays empty.
+    """
     name = "score" if "score" not in docs.columns else "score_of_quality"
     return score(docs, train(docs, labels), name).where(F.col(name) >= 0.5).drop(name)

@@ -1,19 +1,23 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first traversal.
 
-1. The tree is fitted on a bounded sample: every node with enough vectors is split into BRANCHES clusters; leaves are bins.
+1. The tree is fitted on a bounded sample: every node with enough vectors is split into BRANCHES clusters; leaves are bins. There are as many as
+   the table has LEAF_ROWS rows, until a leaf has LEAST rows of the sample only.
 2. Every row is indexed: it descends to the leaf of the nearest centroid at each level. No row is left out.
 3. A query traverses the tree best bin first: a priority queue holds nodes by the inner product of query and centroid (plus the node's radius
    in the query's direction, as far as calibration found useful); the best is opened, until enough leaves have been visited.
 4. How many is calibrated: for some queries the true neighbours among all rows are found by a scan in blocks, the leaves that hold them are
-   known, and visits are widened until the wanted recall is reached.
+   known, and visits are widened until the wanted recall is reached. As many other queries tell what recall that gives (it is logged).
 5. Rows and queries of a leaf meet in pieces of bounded size, and each piece gives each of its queries its best candidates.
 
-Nearness is the inner product of the original vectors in double precision; ties go to the smaller id.
+Nearness is the inner product of the original vectors in double precision, summed in one order whatever else is in a batch; ties go to the
+smaller id. It is defined for vectors of one dimension: the tree holds those of the commonest, and the vectors of each other dimension are one
+leaf of their own, which its queries visit whole.
 """
 
 from __future__ import annotations
 
 import heapq
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +31,10 @@ from .storage import Scratch
 #: The tree is fitted on at most this many rows.
 SAMPLE = 40_000
 BRANCHES = 8
-#: Rows of the sample below which a node is a leaf.
-LEAF = 400
-#: Queries that are compared with all rows for calibration, and the recall that visits are widened to.
-CALIBRATION, RECALL = 128, 0.95
+#: Rows of the table for each leaf, and the fewest rows of the sample in a leaf that is split.
+LEAF_ROWS, LEAST = 1024, 32
+#: Queries that are compared with all rows for calibration (and as many again to judge it), and the recall that visits are widened to.
+CALIBRATION, RECALL = 128, 0.96
 #: Rows and queries of a leaf that meet in one task.
 PIECE, QUERIES = 4096, 4096
 
@@ -57,7 +61,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return (x @ c.T - (c * c).sum(1) / 2).argmax(1)
 
 
-def fit(x: np.ndarray, leaf: int = LEAF, seed: int = 7) -> Tree:
+def fit(x: np.ndarray, leaf: int, seed: int = 7) -> Tree:
     rng = np.random.default_rng(seed)
     centroids, radius, children, leaves = [], [], [], []
 
@@ -120,69 +124,80 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def _top(score: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each row of scores, the best k (ids, scores) without the row's own id; ties to smaller ids."""
+def _top(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query (vectors q, ids own), the best k (ids, scores) of the rows (vectors x) without its own id; ties to smaller ids.
+
+    A matrix product proposes; the scores of what may be among the best are summed again, one row at a time.
+    """
     order = np.argsort(ids, kind="stable")
-    ids, score = ids[order], score[:, order]
-    for row, me in zip(score, own, strict=True):
+    ids, x = ids[order], x[order]
+    slack = 1e-12 * x.shape[1] * np.sqrt((x * x).sum(1).max(initial=0)) * np.sqrt((q * q).sum(1))
+    for v, row, me, near in zip(q, q @ x.T, own, slack, strict=True):
         row = np.where(ids == me, -np.inf, row)
-        if len(row) > 4 * k:
-            some = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
-        else:
-            some = np.arange(len(row))
-        best = some[np.argsort(-row[some], kind="stable")][:k]
-        best = best[row[best] > -np.inf]
-        yield ids[best], row[best]
+        least = np.partition(row, len(row) - k)[len(row) - k] - near if len(row) > k else -np.inf
+        some = np.flatnonzero((row >= least) & (row > -np.inf))
+        score = (x[some] * v).sum(axis=1)
+        best = np.argsort(-score, kind="stable")[:k]
+        yield ids[some[best]], score[best]
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """id and v of rows that take part: with an id, of the commonest dimension, finite and not zero."""
-    v = F.col(vector).cast("array<double>")
+    """id and v of rows that take part: with an id, finite and not zero."""
+    plain = vectors.schema[vector].dataType.simpleString() in ("array<float>", "array<double>")
+    v = F.col(vector) if plain else F.col(vector).cast("array<double>")
     fine = F.forall(v, lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.coalesce(fine, F.lit(False)))
-    fine_sizes = vectors.where(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return rows.where(F.size("v") == (fine_sizes[0].d if fine_sizes else 0))
+    return vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.coalesce(fine, F.lit(False)))
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: of each row whose id is divisible by ``every``, the k nearest other rows that are found.
 
-    Rows with a null id, or a vector that is null, zero, of another dimension than most, or holds null or non-finite components, take no
-    part. Rows that repeat an id are candidates each, but are one query, and no row with the query's own id is a candidate. An empty table
+    Rows with a null id, or a vector that is null, zero (or empty), or holds null or non-finite components, take no part. Candidates have their
+    query's dimension. Other columns are not read. Rows that repeat an id are candidates each, but are one query, and no row with the query's own id is a candidate. An empty table
     gives an empty result.
     """
     s = Scratch(vectors.sparkSession)
     rows = s.settle(usable(vectors, key, vector), "vectors")
     context = vectors.sparkSession.sparkContext
     out = "query_id long, rank int, vec_id long, score double"
+    kind = rows.schema["v"].dataType.simpleString()
+    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], out)
+    d, n = sizes[0].d, sizes[0]["count"]
+    main = rows.where(F.size("v") == d)
     # a share of the rows by hash, so that a few more than the sample are sorted, and not all of every partition
-    share = int(min(1.0, 1.2 * SAMPLE / max(rows.count(), 1)) * (1 << 30))
-    drawn = rows.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < share)
+    share = int(min(1.0, 1.2 * SAMPLE / n) * (1 << 30))
+    drawn = main.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < share)
     some = drawn.orderBy(F.xxhash64("id", "v")).limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
     if not len(some):
-        return vectors.sparkSession.createDataFrame([], out)
-    tree = fit(_matrix(some))
+        some = main.limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    tree = fit(_matrix(some), max(LEAST, LEAF_ROWS * len(some) // n))
     shared = context.broadcast(tree)  # bounded as the sample is
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(assign(shared.value, _matrix(batch.column(1))), pa.int64())], names=["id", "v", "leaf"])
+            size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            leaf, own = -size.astype(np.int64), size == d
+            leaf[own] = assign(shared.value, _matrix(batch.column(1).filter(pa.array(own))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int64())], names=["id", "v", "leaf"])
 
-    indexed = s.settle(rows.mapInArrow(index, "id long, v array<double>, leaf long"), "index")
+    indexed = s.settle(rows.mapInArrow(index, f"id long, v {kind}, leaf long"), "index")
     queries = indexed.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
-    most, reach = calibrate(indexed, queries, tree, k, recall)
+    most, reach = calibrate(indexed.where("leaf >= 0"), queries.where(F.size("v") == d), tree, k, recall)
     sizes = np.zeros(tree.leaves, np.int64)
-    for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # one row per leaf
+    for r in indexed.where("leaf >= 0").groupBy("leaf").agg(F.count("*").alias("n")).collect():  # one row per leaf
         sizes[r.leaf] = r.n
     held = context.broadcast(sizes)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # k rows besides those of the query's own id
-            found = [visits(shared.value, q, most, reach, held.value, k + own) for q, own in zip(_matrix(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
+            vectors = [np.asarray(q.values, np.float64) for q in batch.column(1)]
+            found = [visits(shared.value, q, most, reach, held.value, k + own) if len(q) == d else [-len(q)] for q, own in zip(vectors, batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int64()))], names=["id", "v", "leaves"])
 
-    routed = s.settle(queries.mapInArrow(route, "id long, v array<double>, leaves array<long>"), "queries")
+    routed = s.settle(queries.mapInArrow(route, f"id long, v {kind}, leaves array<long>"), "queries")
     routed = routed.select("id", "v", F.explode("leaves").alias("leaf"))
     # one row per leaf: a table as bounded as the tree
     pieces = indexed.groupBy("leaf").agg(F.count("*").alias("n"))
@@ -199,7 +214,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id"
         found_ids, found_scores = [], []
         if len(ids):
             for i in range(0, len(own), 256):
-                for a, b in _top(q[i : i + 256] @ x.T, ids, own[i : i + 256], k):
+                for a, b in _top(q[i : i + 256], own[i : i + 256], x, ids, k):
                     found_ids.append(a)
                     found_scores.append(b)
         n = len(found_ids)
@@ -225,7 +240,7 @@ def exact(indexed: DataFrame, queries: list[tuple[int, list[float]]], k: int) ->
                 part = batch.slice(lo, 8192)
                 ids, leaf = part.column(0).to_numpy(), part.column(2).to_numpy()
                 where = dict(zip(ids.tolist(), leaf.tolist(), strict=True))
-                for i, (a, b) in enumerate(_top(q @ _matrix(part.column(1)).T, ids, own, k)):
+                for i, (a, b) in enumerate(_top(q, own, _matrix(part.column(1)), ids, k)):
                     best[i] = sorted([*best[i], *((-float(y), int(x), where[int(x)]) for x, y in zip(a, b, strict=True))])[:k]
         flat = [(int(own[i]), x, y, z) for i, rows in enumerate(best) for y, x, z in rows]
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in flat], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["query", "id", "far", "leaf"])
@@ -239,18 +254,28 @@ def exact(indexed: DataFrame, queries: list[tuple[int, list[float]]], k: int) ->
 
 def calibrate(indexed: DataFrame, queries: DataFrame, tree: Tree, k: int, recall: float) -> tuple[int, float]:
     """Leaves to visit, and the weight of the radius, that reach the recall on the calibration queries with the fewest visits."""
-    drawn = [(r.id, r.v) for r in queries.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).collect()]
+    drawn = [(r.id, r.v) for r in queries.orderBy(F.xxhash64("id"), "id").limit(2 * CALIBRATION).collect()]
     if not drawn:
         return tree.leaves, 0.0
     truth = exact(indexed, drawn, k)
-    wanted = sum(map(len, truth.values()))
-    best = (tree.leaves, 0.0)
-    for reach in (0.0, 0.1, 0.2, 0.4):
+    # of few queries all are calibrated on
+    mine, others = (drawn, []) if len(drawn) < 2 * CALIBRATION else (drawn[::2], drawn[1::2])
+
+    def ranks(some: list[tuple[int, list[float]]], reach: float) -> np.ndarray:
+        """How many true neighbours are in the first, second, ... visited leaf."""
         places = np.zeros(tree.leaves + 1)
-        for i, v in drawn:
-            order = {leaf: n for n, leaf in enumerate(visits(tree, np.array(v), tree.leaves, reach))}
+        for i, v in some:
+            order = {leaf: n for n, leaf in enumerate(visits(tree, np.array(v, np.float64), tree.leaves, reach))}
             for _, _, leaf in truth[i]:
                 places[order[leaf]] += 1
-        enough = int(np.searchsorted(np.cumsum(places), recall * wanted)) + 1
+        return places
+
+    best = (tree.leaves, 0.0)
+    for reach in (0.0, 0.1, 0.2, 0.4):
+        places = ranks(mine, reach)
+        enough = int(np.searchsorted(np.cumsum(places), recall * places.sum())) + 1
         best = min(best, (min(enough, tree.leaves), reach))
+    if others:
+        places = ranks(others, best[1])
+        logging.getLogger(__name__).info("%d of %d leaves are visited: recall %.3f on other queries", best[0], tree.leaves, places[: best[0]].sum() / max(places.sum(), 1))
     return best

@@ -23,7 +23,7 @@ def result(df):
 
 def test_recall(spark, monkeypatch):
     monkeypatch.setattr(A, "SAMPLE", 1500)
-    monkeypatch.setattr(A, "LEAF", 40)
+    monkeypatch.setattr(A, "LEAF_ROWS", 80)
     monkeypatch.setattr(A, "PIECE", 64)
     monkeypatch.setattr(A, "QUERIES", 16)
     rng = np.random.default_rng(0)
@@ -46,6 +46,10 @@ def test_few_vectors_ties_and_bad_ones(spark):
     got = result(A.search(df))
     assert got == {0: [(-0.5, 1), (-0.5, 2), (0.0, 20)], 20: [(-0.5, 1), (-0.5, 2), (0.0, 0)]}
     assert A.search(df.where("false")).count() == 0
+    # vectors of another dimension are compared with one another
+    more = [(60, [2.0, 0.0, 1.0], "m"), (9, [1.0, 0.0, 0.5], "n"), (100, [1.0] * 5, "o"), (80, [], "p")]
+    both = result(A.search(df.union(spark.createDataFrame(more, df.schema))))
+    assert both == got | {60: [(-2.5, 9)]}
     assert A.search(df.where("vec_id in (1, 2)")).count() == 0
 
 
@@ -74,3 +78,18 @@ def test_small_leaves_are_widened():
     got = A.visits(tree, x[0], 2, 0.0, sizes, 21)
     assert len(got) == 21 and got == A.visits(tree, x[0], 21, 0.0)
     assert len(A.visits(tree, x[0], 2, 0.0, sizes, 10**6)) == tree.leaves and len(A.visits(tree, x[0], 2, 0.0, sizes * 30, 21)) == 2
+
+
+def test_recall_on_embeddings(spark, monkeypatch):
+    """The table's own vectors, with leaves so small that not all are visited; scores are the same in any batch."""
+    monkeypatch.setattr(A, "LEAF_ROWS", 40)
+    monkeypatch.setattr(A, "CALIBRATION", 30)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    ids, x = [i for i, _ in rows], np.array([v for _, v in rows], np.float64)
+    want = brute(ids, x, 20, 20)
+    got = result(A.search(df))
+    hits = sum(len({j for _, j in got[i]} & {j for _, j in want[i]}) for i in want)
+    assert hits / (20 * len(want)) >= 0.9
+    place = {i: n for n, i in enumerate(ids)}
+    assert all(-s == (x[place[j]] * x[place[i]]).sum() for i, found in got.items() for s, j in found)

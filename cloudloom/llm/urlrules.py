@@ -3,10 +3,11 @@
 A host is keyed by its labels in reverse, each closed by a zero byte (``net\\0example\\0``), so that a rule for a host and all
 its subdomains is the interval of keys that begin with the rule's key. Intervals of such prefixes are nested or disjoint.
 URLs and rules are put in key order and swept once: a rule is pushed when the sweep reaches its key and popped when its
-interval ends, so the stack holds exactly the rules whose host fits. Of those, the path decides, and the longest rule wins.
+interval ends, so the stack holds exactly the rules whose host fits. Of those, the path decides, and the longest rule wins. The rules of one
+host are looked up by the beginnings of the path that have a rule's length, not one by one.
 
 Rules are read in key-ordered blocks of a checked size. Each block is a pass without a shuffle: every partition sorts its own
-batch, so that no host, however frequent, meets in one task.
+batch, so that no host, however frequent, meets in one task. With several blocks each pass is written before the next.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import Scratch
+
 #: Rules in one block: the bound on what is shipped to the executors at once.
 BLOCK_RULES = 50_000
 #: A verdict for what no rule fits.
@@ -37,21 +40,36 @@ def split_url(url):
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def sweep(keys: Sequence[str], paths: Sequence[str], rules: list[tuple[str, str, str, int, str]]) -> Iterator[tuple[str, int, str] | None]:
+Rule = tuple[str, str, str, int, str]
+
+
+def by_host(rules: list[Rule]) -> list[tuple[str, dict[str, Rule], list[int]]]:
+    """Of rules in key order, each key with its rules by path and the lengths of these paths."""
+    out: list[tuple[str, dict[str, Rule], list[int]]] = []
+    for r in rules:
+        if not out or out[-1][0] != r[0]:
+            out.append((r[0], {}, []))
+        out[-1][1][r[1]] = r
+    return [(key, paths, sorted({len(p) for p in paths}, reverse=True)) for key, paths, _ in out]
+
+
+def sweep(keys: Sequence[str], paths: Sequence[str], rules: list[Rule]) -> Iterator[tuple[str, int, str] | None]:
     """For each URL, in key order, the longest fitting rule. rules: (key, path, name, length, verdict) in key order."""
-    stack: list[tuple[str, str, str, int, str]] = []
+    hosts = by_host(rules)
+    stack: list[tuple[str, dict[str, Rule], list[int]]] = []
     i = 0
     for key, path in zip(keys, paths, strict=True):
-        while i < len(rules) and rules[i][0] <= key:
-            while stack and not rules[i][0].startswith(stack[-1][0]):
+        while i < len(hosts) and hosts[i][0] <= key:
+            while stack and not hosts[i][0].startswith(stack[-1][0]):
                 stack.pop()
-            stack.append(rules[i])
+            stack.append(hosts[i])
             i += 1
         while stack and not key.startswith(stack[-1][0]):
             stack.pop()
         best = None
-        for r in stack:
-            if path.startswith(r[1]) and (best is None or r[3] > best[1]):
+        for _, own, lengths in stack:
+            r = next((own[path[:n]] for n in lengths if n <= len(path) and path[:n] in own), None)
+            if r and (best is None or r[3] > best[1]):
                 best = r[2:]
         yield best
 
@@ -82,7 +100,8 @@ def judge(urls: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str]], ur
     rules: (host, path, verdict) rows, as a DataFrame or a sequence. Null urls and urls without ``://`` have an empty host and path
     and get the default verdict. Of rules that fit, the one with the longest host and path together wins; among equal ones (the same
     host and path given twice) a block wins. Rules with a null or empty host are left out; a null path is empty. Rows are judged
-    one by one, so repeats and ties need no other rule. Input columns named host, path, rule, verdict or rule_size are replaced.
+    one by one, so repeats and ties need no other rule; long urls are read whole. An empty table gives an empty one, and without rules every
+    row gets the default. Input columns named host, path, rule, verdict or rule_size are replaced.
     """
     spark = urls.sparkSession
     if not isinstance(rules, DataFrame):
@@ -100,7 +119,12 @@ def judge(urls: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str]], ur
     out = out.to(T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema]))
     n = rules.count()
     blocks = -(-n // BLOCK_RULES)
+    s = Scratch(spark)
     for k in range(blocks):
         part = rules if blocks == 1 else rules.where(F.pmod(F.xxhash64("key", "path"), F.lit(blocks)) == k)
-        out = _pass(out, sorted(tuple(r) for r in part.collect()))
+        old, out = out, _pass(out, sorted(tuple(r) for r in part.collect()))
+        if blocks > 1:
+            out = s.settle(out, "judged")
+            if k:
+                s.drop(old)
     return out.drop("rule_size")

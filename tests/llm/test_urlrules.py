@@ -47,3 +47,18 @@ def test_sweep(rules, urls):
     for (h, p), best in zip(order, found, strict=True):
         fits = [len(r + q) for r, q in rules if (h == r or h.endswith(f".{r}")) and p.startswith(q)]
         assert (best[1] if best else None) == max(fits, default=None)
+
+
+def test_many_paths_of_one_host_and_long_urls(spark, monkeypatch):
+    import time
+
+    rules = [("a.org", f"/p{i}/", "block" if i % 2 else "allow") for i in range(2000)] + [("a.org", "/", "block"), ("org", "", "allow")]
+    urls = [(i, f"http://x.a.org/p{i % 2500}/z") for i in range(5000)] + [(-1, "http://a.org/p7/" + "y" * 200_000), (-2, "http://b.org"), (-3, None)]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    start = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in U.judge(df, rules).collect()}
+    assert time.time() - start < 60
+    assert all(got[i] == ((f"a.org/p{i % 2500}/", "block" if i % 2 else "allow") if i % 2500 < 2000 else ("a.org/", "block")) for i in range(5000))
+    assert got[-1] == ("a.org/p7/", "block") and got[-2] == ("org", "allow") and got[-3] == (None, "allow")
+    monkeypatch.setattr(U, "BLOCK_RULES", 700)
+    assert {r.page_id: (r.rule, r.verdict) for r in U.judge(df, rules).collect()} == got

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +31,32 @@ def root(spark: SparkSession) -> str:
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below :func:`root` and read it back: a checkpoint with a schema and statistics."""
-    spark = df.sparkSession
-    path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).settle(df, name)
+
+
+#: The paths that were written since each open scope began.
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """At its end all scratch tables that were written inside go, but for those that are put into the list it gives."""
+    kept: list[DataFrame] = []
+    _scopes.append([])
+    try:
+        yield kept
+    finally:
+        made, stay = _scopes.pop(), {t._scratch for t in kept}
+        for path in made:
+            if path not in stay:
+                _delete(spark, path)
+        if _scopes:
+            _scopes[-1].extend(stay)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -66,6 +90,8 @@ class Scratch:
         if rows is not None:
             df = df.coalesce(max(1, -(-rows // per_file)))
         path = f"{root(self.spark)}/{name}-{uuid.uuid4().hex}"
+        if _scopes:
+            _scopes[-1].append(path)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
@@ -80,8 +106,7 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no unfinished DataFrame reads any more, and shuffle files of finished jobs."""
         for table in tables:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(self.spark, table._scratch)
         release(self.spark)
 
 

@@ -18,7 +18,7 @@ def shingles(t):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [(d, shingles(t)) for d, t in rows]
     root = {d: d for d, _ in sets}
 
@@ -29,7 +29,7 @@ def brute(rows):
 
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 a2, b2 = sorted((find(a), find(b)))
                 root[b2] = a2
     return sorted((d, len(s), find(d), find(d) == d) for d, s in sets)

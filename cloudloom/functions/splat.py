@@ -119,6 +119,14 @@ def normalised(w: Column, x: Column, y: Column, z: Column) -> list[Column]:
     return [F.when(fine, c / length).otherwise(F.lit(other)) for c, other in zip(parts, (1.0, 0.0, 0.0, 0.0), strict=True)]
 
 
+def half_bits(v: Column) -> Column:
+    """The bits of the nearest 16-bit float (ties to even) of a finite number below 65520."""
+    a = F.abs(v.cast("double"))
+    exponent = F.greatest(F.lit(-14.0), F.floor(F.log2(a)).cast("double"))
+    bits = ((exponent + 14) * 1024 + F.rint(a / F.pow(F.lit(2.0), exponent - 10))).cast("int")
+    return F.when(v == 0, 0).otherwise(bits) + F.when(v < 0, 1 << 15).otherwise(0)
+
+
 def words(r: Column, g: Column, b: Column, a: Column, half_x: Column, half_y: Column, half_z: Column, u: Column, v: Column, angle: Column, sx: Column, sy: Column, sz: Column) -> list[Column]:
     """The four 32-bit words of a record, as BIGINT; half_*: the bits of 16-bit floats."""
     join = lambda *parts: sum((F.shiftleft(c.cast("long"), s) for c, s in parts), F.lit(0).cast("long"))

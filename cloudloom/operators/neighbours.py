@@ -1,13 +1,16 @@
-"""Exact nearest neighbours by grid cells, without comparing all pairs of a cloud.
+"""Exact nearest neighbours by grid cells, without comparing all pairs of a large cloud.
 
-References are put into cubic cells; a query looks into the 27 cells around its own. A neighbour that is no farther than one cell's side can't
-be beaten from outside, so it is final. Queries without enough such neighbours go on with cells of twice the side, until a side
-exceeds the whole cloud. Every round is an equi-join on the cell, which AQE may split; equal positions are one reference in a search
-for the nearest, so that a pile of copies isn't a hot cell.
+Clouds of at most SMALL pairs are compared in one group, in blocks. For the others references are put into cubic cells; a query looks into the 27
+cells around its own. A neighbour that is no farther than one cell's side can't be beaten from outside, so it is final. Queries without enough
+such neighbours go on with cells of four times the side, until a side exceeds the whole cloud. The first side is made smaller until no
+cell holds more than CROWD references, so outliers and clusters don't fill a cell. Every round is an equi-join on the cell, which
+AQE may split; of equal positions only as many references are kept as can be among the nearest, so a pile of copies isn't a hot cell.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,10 @@ from .bounds import position_bounds
 
 #: References that a cell should hold on average.
 PER_CELL = 4.0
+#: References that the fullest cell may hold at first, as a multiple of k, and by how much sides shrink to get there.
+CROWD, SHRINK = 256, 8.0
+#: Pairs of a cloud that are compared at once.
+SMALL = 1 << 24
 #: Larger sides at once after the first rounds: outliers are found in few rounds.
 GROWTH = 4.0
 
@@ -37,16 +44,71 @@ def nearest(test: DataFrame, ref: DataFrame, k: int = 1) -> DataFrame:
     """
     fine = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in "xyz")
     test, ref = test.where(fine), ref.where(fine)
+    sizes = test.groupBy("cloud_id").agg(F.count("*").alias("n")).join(ref.groupBy("cloud_id").agg(F.count("*").alias("m")), "cloud_id").persist()
+    large = sizes.where(f"n * m > {SMALL}").select("cloud_id")
+    if large.isEmpty():
+        sizes.unpersist()
+        return _in_groups(test, ref, k)
+    small = _in_groups(test.join(large, "cloud_id", "left_anti"), ref.join(large, "cloud_id", "left_anti"), k)
+    return small.unionByName(_by_cells(test.join(large, "cloud_id", "left_semi"), ref.join(large, "cloud_id", "left_semi"), k))
+
+
+def _in_groups(test: DataFrame, ref: DataFrame, k: int) -> DataFrame:
+    """All pairs of each cloud, some queries at a time; only for clouds of a checked size."""
+
+    def run(both: pa.Table) -> pa.Table:
+        mine = both["mine"].to_numpy()
+        t, r = both.filter(pa.array(mine)), both.filter(pa.array(~mine))
+        out = {"cloud_id": [], "idx": [], "rank": [], "ref_idx": [], "d2": []}
+        order = np.argsort(r["idx"].to_numpy(), kind="stable")
+        ids = r["idx"].to_numpy()[order]
+        q, x = (np.stack([a[c].to_numpy().astype(np.float64) for c in "xyz"], axis=1) for a in (t, r))
+        x, most = x[order], min(k, len(ids))
+        step = max(1, (1 << 20) // max(len(ids), 1))
+        for i in range(0, len(q) if most else 0, step):
+            d = [q[i : i + step, None, c] - x[None, :, c] for c in range(3)]
+            d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+            near = d2.argmin(axis=1)[:, None] if most == 1 else np.argsort(d2, axis=1, kind="stable")[:, :most]
+            n = len(near)
+            out["cloud_id"].append(np.repeat(np.arange(i, i + n), most))
+            out["idx"].append(np.repeat(t["idx"].to_numpy()[i : i + n], most))
+            out["rank"].append(np.tile(np.arange(1, most + 1), n))
+            out["ref_idx"].append(ids[near].ravel())
+            out["d2"].append(np.take_along_axis(d2, near, axis=1).ravel())
+        flat = {n: np.concatenate(v) if v else np.zeros(0, np.int64) for n, v in out.items()}
+        return pa.table([t["cloud_id"].take(pa.array(flat["cloud_id"].astype(np.int64))), pa.array(flat["idx"], pa.int64()), pa.array(flat["rank"], pa.int32()), pa.array(flat["ref_idx"], pa.int64()), pa.array(flat["d2"], pa.float64())], names=list(out))
+
+    kind = test.schema["cloud_id"].dataType.simpleString()
+    sides = [df.select("cloud_id", F.col("idx").cast("long").alias("idx"), "x", "y", "z", F.lit(mine).alias("mine")) for df, mine in ((test, True), (ref, False))]
+    return sides[0].union(sides[1]).groupBy("cloud_id").applyInArrow(run, f"cloud_id {kind}, idx long, rank int, ref_idx long, d2 double")
+
+
+def _by_cells(test: DataFrame, ref: DataFrame, k: int) -> DataFrame:
     q = test.select("cloud_id", F.col("idx"), *(F.col(c).alias(f"q{c}") for c in "xyz"))
     r = ref.select("cloud_id", F.col("idx").alias("ref_idx"), *(F.col(c).alias(f"r{c}") for c in "xyz"))
     if k == 1:
         r = r.groupBy("cloud_id", "rx", "ry", "rz").agg(F.min("ref_idx").alias("ref_idx"))
+    else:
+        same = Window.partitionBy("cloud_id", "rx", "ry", "rz").orderBy("ref_idx")
+        r = r.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k).drop("copy")
+    r = r.persist()
     both = test.select("cloud_id", "x", "y", "z").union(ref.select("cloud_id", "x", "y", "z"))
     counts = ref.groupBy("cloud_id").agg(F.count("*").alias("m"))
     size = position_bounds(both).join(counts, "cloud_id")
     span = F.greatest(*(F.col(f"max_{c}").cast("double") - F.col(f"min_{c}").cast("double") for c in "xyz"), F.lit(1e-30))
     side = span / F.greatest(F.lit(1.0), F.pow(F.col("m") / (PER_CELL * max(1, k)), F.lit(1 / 3)))
     size = size.select("cloud_id", "m", span.alias("span"), side.alias("side"), *(F.col(f"min_{c}").cast("double").alias(f"lo_{c}") for c in "xyz")).persist()
+    while True:  # sides shrink where a cell is crowded
+        cells = r.join(size, "cloud_id").select("cloud_id", "side", *_cells(r, "r"))
+        full = cells.groupBy("cloud_id", "cx", "cy", "cz").agg(F.count("*").alias("n")).where(F.col("n") > CROWD * k).select("cloud_id").distinct().withColumn("full", F.lit(True)).persist()
+        # a float's grid ends this: below it no two positions share a cell
+        if full.join(size.where(F.col("side") > F.col("span") * 1e-9), "cloud_id").isEmpty():
+            break
+        smaller = F.when(F.col("full") & (F.col("side") > F.col("span") * 1e-9), F.col("side") / SHRINK).otherwise(F.col("side"))
+        size, old = size.join(full, "cloud_id", "left").withColumn("side", smaller).drop("full").persist(), size
+        size.count()
+        old.unpersist()
+        full.unpersist()
     out, scale, todo = [], 1.0, q
     steps = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("abc", s, strict=True))) for s in [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
     last = Window.partitionBy("cloud_id", "idx").orderBy("d2", "ref_idx")

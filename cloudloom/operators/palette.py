@@ -34,7 +34,7 @@ def assign(points: DataFrame, cap: int) -> DataFrame:
     """Adds the entry of every point.
 
     A bin of the palette is its entry. Another bin is decided once, by its first point's colour: the nearest entry within two bins around,
-    the closest shell first; without any, the entry whose bin centre is nearest. Bins are few (2^15 or 2^18 a cloud), so what
+    the closest shell first; without any, the entry whose colour is nearest to the bin's own centre. Bins are few (2^15 or 2^18 a cloud), so what
     is joined for them is small, whatever the number of points.
     """
     g = grid_bits(cap)
@@ -56,11 +56,9 @@ def assign(points: DataFrame, cap: int) -> DataFrame:
     found = near.join(target, ["cloud_id", "near"]).groupBy("cloud_id", "bin").agg(F.min_by("entry", F.struct(shell, far, F.col("k"))).alias("entry"))
     lost = miss.join(found, ["cloud_id", "bin"], "left_anti")
     half = 1 << (7 - g)
-    pb = F.col("pbin")
-    centre = {"r": pb.bitwiseAND(F.lit(side)), "g": F.shiftright(pb, g).bitwiseAND(F.lit(side)), "b": F.shiftright(pb, 2 * g)}
-    off = sum(((F.shiftleft(centre[c], 8 - g) + half - F.col(c).cast("int")) * (F.shiftleft(centre[c], 8 - g) + half - F.col(c).cast("int")) for c in "rgb"), F.lit(0))
+    off = sum(((F.col(f"p{c}") - F.shiftleft(F.col(a), 8 - g) - half) * (F.col(f"p{c}") - F.shiftleft(F.col(a), 8 - g) - half) for c, a in zip("rgb", "xyz", strict=True)), F.lit(0))
     # lost bins and palette entries are both bounded by the number of bins
-    rest = lost.join(palette.select("cloud_id", "entry", F.col("bin").alias("pbin")), "cloud_id").groupBy("cloud_id", "bin").agg(F.min_by("entry", F.struct(off, F.col("entry"))).alias("entry"))
+    rest = lost.withColumns(own).join(palette.select("cloud_id", "entry", "pr", "pg", "pb"), "cloud_id").groupBy("cloud_id", "bin").agg(F.min_by("entry", F.struct(off, F.col("entry"))).alias("entry"))
     return binned.join(hit.unionByName(found).unionByName(rest), ["cloud_id", "bin"])
 
 

@@ -146,18 +146,18 @@ ENTRIES = f"e AS (SELECT cloud_id, row_number() OVER (PARTITION BY cloud_id ORDE
 add("palette_hist", "points_li", "SELECT * FROM h", HIST)
 add("palette_topk", "points_li", "SELECT cloud_id, CAST(entry AS INTEGER) AS entry, bin, n, pr, pg, pb FROM e", HIST, ENTRIES)
 FAR = each("(p% - %) * (p% - %)", RGB, " + ")
-CENTRE_FAR = "((((bin2 & 31) << 3) + 4 - r) * (((bin2 & 31) << 3) + 4 - r) + ((((bin2 >> 5) & 31) << 3) + 4 - g) * ((((bin2 >> 5) & 31) << 3) + 4 - g) + (((bin2 >> 10) << 3) + 4 - b) * (((bin2 >> 10) << 3) + 4 - b))"
-add(
-    "palette_assign", "points_li", f"SELECT p.cloud_id, idx, CAST(entry AS INTEGER) AS entry FROM p JOIN all_bins a ON p.cloud_id = a.cloud_id AND {BIN.replace('(r ', '(p.r ').replace('(g ', '(p.g ').replace('(b ', '(p.b ')} = a.bin",
-    HIST, ENTRIES,
+CENTRE_FAR = " + ".join(f"(p{c} - ((((m.bin >> {5 * i}) & 31) << 3) + 4)) * (p{c} - ((((m.bin >> {5 * i}) & 31) << 3) + 4))" for i, c in enumerate(RGB))
+PALETTE = [
     f"bins AS (SELECT cloud_id, {BIN} AS bin, arg_min(r, idx) AS r, arg_min(g, idx) AS g, arg_min(b, idx) AS b FROM p GROUP BY ALL)",
     "miss AS (SELECT * FROM bins ANTI JOIN e USING (cloud_id, bin))",
     f"around AS (SELECT m.cloud_id, m.bin, entry, e.bin AS bin2, {FAR} AS far, greatest(abs((e.bin & 31) - (m.bin & 31)), abs(((e.bin >> 5) & 31) - ((m.bin >> 5) & 31)), abs((e.bin >> 10) - (m.bin >> 10))) AS shell, "
-    f"(((e.bin & 31) - (m.bin & 31) + 2) * 5 + ((e.bin >> 5) & 31) - ((m.bin >> 5) & 31) + 2) * 5 + (e.bin >> 10) - (m.bin >> 10) + 2 AS k, {CENTRE_FAR.replace('bin2', 'e.bin')} AS off FROM miss m JOIN e ON m.cloud_id = e.cloud_id)",
+    f"(((e.bin & 31) - (m.bin & 31) + 2) * 5 + ((e.bin >> 5) & 31) - ((m.bin >> 5) & 31) + 2) * 5 + (e.bin >> 10) - (m.bin >> 10) + 2 AS k, {CENTRE_FAR} AS off FROM miss m JOIN e ON m.cloud_id = e.cloud_id)",
     "near AS (SELECT cloud_id, bin, arg_min(entry, (shell, far, k)) AS entry FROM around WHERE shell <= 2 GROUP BY ALL)",
     "rest AS (SELECT cloud_id, bin, arg_min(entry, (off, entry)) AS entry FROM around ANTI JOIN near USING (cloud_id, bin) GROUP BY ALL)",
     "all_bins AS (SELECT cloud_id, bin, entry FROM e UNION ALL SELECT * FROM near UNION ALL SELECT * FROM rest)",
-)
+]
+OWN_BIN = BIN.replace("(r ", "(p.r ").replace("(g ", "(p.g ").replace("(b ", "(p.b ")
+add("palette_assign", "points_li", f"SELECT p.cloud_id, idx, CAST(entry AS INTEGER) AS entry FROM p JOIN all_bins a ON p.cloud_id = a.cloud_id AND {OWN_BIN} = a.bin", HIST, ENTRIES, *PALETTE)
 add("palette_estimate", "points_li", "SELECT cloud_id, n, (n * 60 + 7) // 8 AS plain, (n * 44 + 7) // 8 + 2 + 768 AS indexed, (n * 44 + 7) // 8 + 2 + 768 + 256 < (n * 60 + 7) // 8 AS wins FROM (SELECT cloud_id, count(*) AS n FROM p GROUP BY cloud_id)")
 MORTON = " | ".join(f"(((q{c} >> {i}) & 1) << {3 * i + j})" for i in range(16) for j, c in enumerate(XYZ))
 add("morton_order", "points_li", "SELECT cloud_id, idx, morton, row_number() OVER (PARTITION BY cloud_id ORDER BY morton, idx) - 1 AS rank FROM z", BOUNDS, codes(16), f"z AS (SELECT cloud_id, idx, {MORTON} AS morton FROM q)")
@@ -197,7 +197,11 @@ add(
 )
 LEN = "sqrt(" + each("CAST(rot_% AS DOUBLE) * CAST(rot_% AS DOUBLE)", "wxyz", " + ") + ")"
 add("splat_normalised", "splats_emb", "SELECT cloud_id, idx, " + ", ".join(f"round(CASE WHEN {LEN} > 0 THEN CAST(rot_{c} AS DOUBLE) / {LEN} ELSE {1 if c == 'w' else 0} END, 9) AS q{c}" for c in "wxyz") + ", " + each("round(CAST(% AS DOUBLE) / 255.0::DOUBLE, 9) AS share_%", "rgba") + " FROM p")
-WORDS = "CAST(r AS BIGINT) + (CAST(g AS BIGINT) << 8) + (CAST(b AS BIGINT) << 16) + (CAST(a AS BIGINT) << 24) AS w0, (CAST(u AS BIGINT) << 16) + (CAST(v AS BIGINT) << 24) AS w2, CAST(sx AS BIGINT) + (CAST(sy AS BIGINT) << 8) + (CAST(sz AS BIGINT) << 16) + (CAST(angle AS BIGINT) << 24) AS w3"
+HALF_STEP = lambda c: f"pow(2.0::DOUBLE, greatest(-14, floor(log2(abs(CAST({c} AS DOUBLE))))) - 10)"
+HALF_COUNT = lambda c: f"round_even(abs(CAST({c} AS DOUBLE)) / {HALF_STEP(c)}, 0)"
+HALF_BITS = lambda c: f"CASE WHEN {c} = 0 THEN 0 ELSE CAST((greatest(-14, floor(log2(abs(CAST({c} AS DOUBLE))))) + 14) * 1024 + {HALF_COUNT(c)} AS BIGINT) + CASE WHEN {c} < 0 THEN 32768 ELSE 0 END END"
+HALF = lambda c: f"CAST(CASE WHEN {c} = 0 THEN 0 ELSE sign({c}) * {HALF_COUNT(c)} * {HALF_STEP(c)} END AS FLOAT)"
+WORDS = f"CAST(r AS BIGINT) + (CAST(g AS BIGINT) << 8) + (CAST(b AS BIGINT) << 16) + (CAST(a AS BIGINT) << 24) AS w0, {HALF_BITS('x')} + ({HALF_BITS('y')} << 16) AS w1, {HALF_BITS('z')} + (CAST(u AS BIGINT) << 16) + (CAST(v AS BIGINT) << 24) AS w2, CAST(sx AS BIGINT) + (CAST(sy AS BIGINT) << 8) + (CAST(sz AS BIGINT) << 16) + (CAST(angle AS BIGINT) << 24) AS w3"
 add("gsp_words", "splats_emb", f"SELECT cloud_id, idx, {WORDS} FROM u6", SCALES, *(c.replace("{src}", "k") for c in ROTATION))
 
 H = "((CAST(idx AS BIGINT) * 2654435761 + 12345) % 4294967296)"
@@ -262,17 +266,43 @@ _asked = ", ".join(f"('{s}', '{n}')" for s, n in SPELLINGS.items())
 ORACLES["format_names"] = f"WITH known(spelling, format) AS (VALUES {_asked}), asked AS (SELECT upper(spelling) AS asked FROM known UNION ALL VALUES ('Gsplat16'), ('none') UNION ALL SELECT n_name FROM nation) SELECT asked, format FROM asked LEFT JOIN known ON lower(asked) = spelling"
 
 
-def _kept(name: str, source: str) -> None:
-    add(f"decode_roundtrip_{name}", source, f"SELECT cloud_id, count(*) AS n, {each('min(%) AS min_%, max(%) AS max_%')}, CAST(sum(r) AS BIGINT) AS sum_r FROM p GROUP BY cloud_id")
+_SHOWN = each("CAST(% AS INTEGER) AS %", RGB)
 
 
+def _kept(name: str, source: str, view: str = "p", place: str = "idx", *ctes: str, xyz: str = "x, y, z") -> None:
+    """Rows of a codec's points: place, positions and colours."""
+    splat = ", CAST(a AS INTEGER) AS a" if source == "splats_emb" else ""
+    add(f"decode_roundtrip_{name}", source, f"SELECT cloud_id, {place} AS idx, {xyz}, {_SHOWN}{splat} FROM {view}", *ctes)
+
+
+#: Splats are numbered by vec_id, and decoded ones from 0 on.
+_RANK = "row_number() OVER (PARTITION BY cloud_id ORDER BY idx) - 1"
+_HALVES = ", ".join(f"{HALF(c)} AS {c}" for c in XYZ)
 for _n in ("bitcode", "ply", "ply_ascii", "ply_big_endian", "gzip", "zstd", "lz4"):
     _kept(_n, "points_ev")
 for _n in ("splats_bitcode", "splats_ply"):
-    _kept(_n, "splats_emb")
-
+    _kept(_n, "splats_emb", "p", _RANK)
 for _n in ("quantize", "snappy"):
-    add(f"decode_roundtrip_{_n}", "points_ev", f"SELECT cloud_id, count(*) AS n, {each('min(%) AS min_%, max(%) AS max_%')}, CAST(sum(r) AS BIGINT) AS sum_r FROM t GROUP BY cloud_id", BOUNDS, codes(12, 8), test_cloud(12, 8))
+    _kept(_n, "points_ev", "t", "idx", BOUNDS, codes(12, 8), test_cloud(12, 8))
+_kept("gsp16", "points_ev", xyz=_HALVES)
+_kept("splats_gsp16", "splats_emb", "p", _RANK, xyz=_HALVES)
+
+
+def _plane_code(c: str) -> str:
+    """A 16-bit code of the byte planes: times the span's inverse, and then times the largest code."""
+    span, one = f"CAST(max_{c} - min_{c} AS FLOAT)", "CAST(1 AS FLOAT)"
+    share = f"CAST(CAST({c} - min_{c} AS FLOAT) * CAST({one} / {span} AS FLOAT) AS FLOAT)"
+    whole = f"floor(CAST(CAST({share} * CAST(65535 AS FLOAT) AS FLOAT) + CAST(0.5 AS FLOAT) AS FLOAT))"
+    return f"CASE WHEN {span} > CAST(1.1920928955078125e-07 AS FLOAT) THEN greatest(0, least(65535, CAST({whole} AS BIGINT))) ELSE 0 END AS q{c}"
+
+
+_PLANES = f"q AS (SELECT p.*, b.* EXCLUDE (cloud_id), {', '.join(map(_plane_code, XYZ))}, r AS qr, g AS qg, b AS qb FROM p JOIN b USING (cloud_id))".replace("b AS qb", "p.b AS qb")
+_MORTON = f"z AS (SELECT q.cloud_id, q.idx, t.x, t.y, t.z, q.r, q.g, q.b, {MORTON} AS morton FROM q JOIN t USING (cloud_id, idx))"
+_kept("sogp", "points_ev", "z", "row_number() OVER (PARTITION BY cloud_id ORDER BY morton, idx) - 1", BOUNDS, _PLANES, test_cloud(16, 8), _MORTON)
+_ENTRIES = ENTRIES.replace(f"entry < {CAP}", "entry < 16")
+_colours = ", ".join(f"CASE WHEN (b.n * 40 + 7) // 8 + 2 + 48 + 256 < (b.n * 60 + 7) // 8 THEN e.p{c} ELSE s.{c} END AS {c}" for c in RGB)
+_PAINTED = f"w AS (SELECT s.cloud_id, s.idx, s.x, s.y, s.z, {_colours} FROM t s JOIN b USING (cloud_id) JOIN p ON p.cloud_id = s.cloud_id AND p.idx = s.idx JOIN all_bins a ON p.cloud_id = a.cloud_id AND {OWN_BIN} = a.bin JOIN e ON e.cloud_id = a.cloud_id AND e.entry = a.entry)"
+_kept("quantize_palette", "points_ev", "w", "idx", BOUNDS, codes(12, 8), test_cloud(12, 8), HIST, _ENTRIES, *PALETTE, _PAINTED)
 
 _v = "CASE WHEN idx % 7 = 0 THEN 0 ELSE CAST(scale_x AS DOUBLE) - 0.5::DOUBLE END"
 add("splat_from_shares", "splats_emb", f"SELECT cloud_id, idx, {BYTE(_v)} AS byte, r, g, b, a FROM p")

@@ -288,12 +288,11 @@ def codec_labels(spark, d):
 
 @query
 def gsp_words(spark, d):
-    """Record words with the position bits left at zero: half floats are made in the byte codec."""
+    """The four words of every 16-byte record."""
     s = splats_emb(spark, d)
     u, v, angle = splat.rotation_codes(*(F.col(f"rot_{c}") for c in "wxyz"))
-    zero = F.lit(0)
-    w = splat.words(*(F.col(c) for c in "rgba"), zero, zero, zero, u, v, angle, *(splat.scale_code(F.col(f"scale_{c}")) for c in "xyz"))
-    return s.select("cloud_id", "idx", w[0].alias("w0"), w[2].alias("w2"), w[3].alias("w3"))
+    w = splat.words(*(F.col(c) for c in "rgba"), *(splat.half_bits(F.col(c)) for c in "xyz"), u, v, angle, *(splat.scale_code(F.col(f"scale_{c}")) for c in "xyz"))
+    return s.select("cloud_id", "idx", *(x.alias(f"w{i}") for i, x in enumerate(w)))
 
 
 @query
@@ -430,7 +429,7 @@ def _round_trips(name: str, params: P.Params, target: str = "points") -> None:
     def run(spark, d):
         source = splats_emb(spark, d) if target == "splats" else points_ev(spark, d)
         back = payloads.decode(payloads.encode(source, params), target)
-        return back.groupBy("cloud_id").agg(F.count("*").alias("n"), *(f(c).alias(f"{m}_{c}") for c in "xyz" for m, f in (("min", F.min), ("max", F.max))), F.sum(F.col("r").cast("long")).alias("sum_r"))
+        return back.select("cloud_id", "idx", "x", "y", "z", *(F.col(c).cast("int").alias(c) for c in ("rgba" if target == "splats" else "rgb")))
 
     QUERIES[f"decode_roundtrip_{name}"] = run
 

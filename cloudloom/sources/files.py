@@ -10,36 +10,50 @@ EXTENSIONS = ("ply", "pcd", "tmf", "dra", "gzp")
 
 
 def read_payloads(spark: SparkSession, path: str, extensions: tuple[str, ...] | None = EXTENSIONS, recursive: bool = False) -> DataFrame:
-    """(cloud_id, path, payload, bytes) of the files below a path, or of one file; extensions None takes any."""
+    """(cloud_id, path, payload, bytes) of the files below a path, or of one file; extensions None takes any. Without such files it fails."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if extensions:
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return reader.load(path).select(name.alias("cloud_id"), "path", F.col("content").alias("payload"), F.col("length").alias("bytes"))
+    found = reader.load(path)
+    if found.select("path").isEmpty():
+        raise FileNotFoundError(f"no files with payloads in {path}")
+    return found.select(name.alias("cloud_id"), "path", F.col("content").alias("payload"), F.col("length").alias("bytes"))
 
 
 def write_payloads(payloads: DataFrame, path: str, overwrite: bool = False) -> None:
     """One file per payload, ``<cloud_id>.<outer>+<inner>``, below a path that every task can write to; existing ones are refused unless told."""
-    hadoop = {"path": path, "overwrite": overwrite}
+    uri = path if "://" in path else f"file://{path}"
+    name = F.concat("cloud_id", F.lit("."), F.array_join(F.transform("codec_chain", F.lower), "+"))
+    named = payloads.select(name.alias("name"), "payload")
+    if not overwrite:
+        # looked at once, before any task writes: a task that runs again finds its own files
+        import pyarrow.fs as fs
+
+        store, root = fs.FileSystem.from_uri(uri)
+        there = {f.base_name for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True))}
+        for r in named.select("name").toLocalIterator() if there else ():
+            if r.name in there:
+                raise FileExistsError(f"{path}/{r.name}")
 
     def write(rows) -> None:
+        import uuid
+
         import pyarrow.fs as fs
 
-        store, root = fs.FileSystem.from_uri(hadoop["path"] if "://" in hadoop["path"] else f"file://{hadoop['path']}")
+        store, root = fs.FileSystem.from_uri(uri)
         store.create_dir(root, recursive=True)
         for r in rows:
-            name = f"{root}/{r.cloud_id}.{'+'.join(n.lower() for n in r.codec_chain)}"
-            if not hadoop["overwrite"] and store.get_file_info(name).type != fs.FileType.NotFound:
-                raise FileExistsError(name)
-            # written aside and moved: a task that runs again leaves whole files
-            with store.open_output_stream(f"{name}.part") as out:
+            # written aside under a name of this attempt's own, and moved: any number of attempts leave one whole file
+            part = f"{root}/.{r.name}.{uuid.uuid4().hex}.part"
+            with store.open_output_stream(part) as out:
                 out.write(bytes(r.payload))
-            store.move(f"{name}.part", name)
+            store.move(part, f"{root}/{r.name}")
 
-    payloads.select("cloud_id", "codec_chain", "payload").foreachPartition(write)
+    named.foreachPartition(write)
 
 
-#: Fixed columns of a benchmark result, in order; the second list has six decimals.
+#: The columns of a benchmark result, in order; the second list has six decimals.
 OUTCOME = "dataset_id dataset_path sweep_name params_json num_points_ref num_points_dec bytes bpp encode_ns decode_ns encode_ms decode_ms d1_rmse d1_median d1_p95 d2_rmse d2_median d2_p95 n_ang_mean_deg n_ang_p95_deg outlier_ratio y_psnr cb_psnr cr_psnr".split()
 SIX = "bpp encode_ms decode_ms d1_rmse d1_median d1_p95 d2_rmse d2_median d2_p95 n_ang_mean_deg n_ang_p95_deg outlier_ratio y_psnr cb_psnr cr_psnr".split()
 

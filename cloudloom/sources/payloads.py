@@ -123,4 +123,4 @@ class DecodePayload:
 
 def register(spark: SparkSession) -> None:
     """``SELECT * FROM payloads, LATERAL decode_payload(payload)``."""
-    spark.udtf.register("decode_payload", F.udtf(DecodePayload, returnType="idx long, x float, y float, z float, r int, g int, b int"))
+    spark.udtf.register("decode_payload", F.udtf(DecodePayload, returnType="idx long, x float, y float, z float, r int, g int, b int", useArrow=True))

@@ -50,8 +50,8 @@ def palette_of(rgb: np.ndarray, cap: int, compat: bool = False) -> tuple[np.ndar
     """Entries (k, 3), their bins, and the entry of every record.
 
     The fullest bins make the palette (ties: smaller bin), each by its rounded mean colour. A record of another bin takes the entry
-    that is nearest to the first colour of its bin within two bins around, the closest shell first; where there is none, the entry whose bin
-    centre is nearest. compat: bins are decided in the order in which they are first met, and one that is decided counts as a bin of its entry
+    that is nearest to the first colour of its bin within two bins around, the closest shell first; where there is none, the entry whose
+    colour is nearest to the centre of the record's bin. compat: bins are decided in the order in which they are first met, and one that is decided counts as a bin of its entry
     for those after it.
     """
     g = grid_bits(cap)
@@ -64,7 +64,7 @@ def palette_of(rgb: np.ndarray, cap: int, compat: bool = False) -> tuple[np.ndar
     slot[bins[order]] = np.arange(len(order))
     chosen = slot[bins].copy()
     axes = lambda b: np.stack([b & (1 << g) - 1, b >> g & (1 << g) - 1, b >> 2 * g], axis=-1)
-    centres = (axes(bins[order]) << (8 - g)) + (1 << (7 - g))
+    centre = lambda b: (axes(b) << (8 - g)) + (1 << (7 - g))
     around = [(dr, dg, db) for dr in range(-2, 3) for dg in range(-2, 3) for db in range(-2, 3)]
     missed = np.flatnonzero(chosen < 0)
     for i in missed[np.argsort(first[missed])]:
@@ -78,7 +78,7 @@ def palette_of(rgb: np.ndarray, cap: int, compat: bool = False) -> tuple[np.ndar
             if entry >= 0:
                 far = int(((entries[entry].astype(np.int64) - colour) ** 2).sum())
                 best = min(best or (9,), (max(map(abs, step)), far, k, int(entry)))
-        chosen[i] = best[3] if best else int(((centres - colour) ** 2).sum(1).argmin())
+        chosen[i] = best[3] if best else int(((entries.astype(np.int64) - centre(bins[i])) ** 2).sum(1).argmin())
         if compat:
             slot[bins[i]] = chosen[i]
     return entries, bins[order], chosen[at]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as X
-from .storage import Scratch, anti_join, semi_join, split, spread_join
+from .storage import Scratch, anti_join, split, spread_join
 
 SPAN = 20
 ANCHOR = 6
@@ -295,9 +295,11 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     s.drop(prints, old)
     single = anti_join(marked, copies, "doc_id")
     anchors = single.select("doc_id", F.explode(F.arrays_zip("anchors", "words")).alias("a")).select("doc_id", F.col("a.anchors").alias("anchor"), F.col("a.words").alias("word"))
-    repeated = s.settle(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+    repeated = s.settle(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
     s.drop()
-    wanted = s.settle(semi_join(anchors, repeated, "anchor").groupBy("doc_id").agg(F.collect_list("word").alias("at")), "wanted", n, 10_000)
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    again = spread_join(split(anchors, repeated.select("anchor"), "anchor")[0], repeated, "anchor", "n", total)
+    wanted = s.settle(again.groupBy("doc_id").agg(F.collect_list("word").alias("at")), "wanted", n, 10_000)
     s.drop(marked, repeated)
     windows = s.settle(candidates(texts, wanted, span), "windows")
     s.drop(wanted)

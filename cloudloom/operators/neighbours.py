@@ -2,9 +2,9 @@
 
 Clouds of at most SMALL pairs are compared in one group, in blocks. For the others references are put into cubic cells; a query looks into the 27
 cells around its own. A neighbour that is no farther than one cell's side can't be beaten from outside, so it is final. Queries without enough
-such neighbours go on with cells of four times the side, until a side exceeds the whole cloud. The first side is made smaller until no
-cell holds more than CROWD references, so outliers and clusters don't fill a cell. Every round is an equi-join on the cell, which
-AQE may split; of equal positions only as many references are kept as can be among the nearest, so a pile of copies isn't a hot cell.
+such neighbours go on with cells of four times the side, until a side exceeds the whole cloud. Every round is an equi-join on the cell, which
+AQE may split; of equal positions only as many references are kept as can be among the nearest, so a pile of copies isn't a hot cell. The first
+side follows from the cloud's extent: one far outlier makes cells that hold most of a large cloud, and the work grows with their square.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from .bounds import position_bounds
 
 #: References that a cell should hold on average.
 PER_CELL = 4.0
-#: References that the fullest cell may hold at first, as a multiple of k, and by how much sides shrink to get there.
-CROWD, SHRINK = 256, 8.0
 #: Pairs of a cloud that are compared at once.
 SMALL = 1 << 24
 #: Larger sides at once after the first rounds: outliers are found in few rounds.
@@ -98,17 +96,6 @@ def _by_cells(test: DataFrame, ref: DataFrame, k: int) -> DataFrame:
     span = F.greatest(*(F.col(f"max_{c}").cast("double") - F.col(f"min_{c}").cast("double") for c in "xyz"), F.lit(1e-30))
     side = span / F.greatest(F.lit(1.0), F.pow(F.col("m") / (PER_CELL * max(1, k)), F.lit(1 / 3)))
     size = size.select("cloud_id", "m", span.alias("span"), side.alias("side"), *(F.col(f"min_{c}").cast("double").alias(f"lo_{c}") for c in "xyz")).persist()
-    while True:  # sides shrink where a cell is crowded
-        cells = r.join(size, "cloud_id").select("cloud_id", "side", *_cells(r, "r"))
-        full = cells.groupBy("cloud_id", "cx", "cy", "cz").agg(F.count("*").alias("n")).where(F.col("n") > CROWD * k).select("cloud_id").distinct().withColumn("full", F.lit(True)).persist()
-        # a float's grid ends this: below it no two positions share a cell
-        if full.join(size.where(F.col("side") > F.col("span") * 1e-9), "cloud_id").isEmpty():
-            break
-        smaller = F.when(F.col("full") & (F.col("side") > F.col("span") * 1e-9), F.col("side") / SHRINK).otherwise(F.col("side"))
-        size, old = size.join(full, "cloud_id", "left").withColumn("side", smaller).drop("full").persist(), size
-        size.count()
-        old.unpersist()
-        full.unpersist()
     out, scale, todo = [], 1.0, q
     steps = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("abc", s, strict=True))) for s in [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
     last = Window.partitionBy("cloud_id", "idx").orderBy("d2", "ref_idx")

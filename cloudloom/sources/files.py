@@ -34,7 +34,7 @@ def write_payloads(payloads: DataFrame, path: str, overwrite: bool = False) -> N
         there = {f.base_name for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True))}
         for r in named.select("name").toLocalIterator() if there else ():
             if r.name in there:
-                raise FileExistsError(f"{path}/{r.name}")
+                raise FileExistsError(f"FileExistsError: {path}/{r.name}")
 
     def write(rows) -> None:
         import uuid

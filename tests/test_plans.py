@@ -218,3 +218,13 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 10
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_cells_and_groups_agree(spark):
+    """The two ways of finding neighbours: by cells of a grid, and by all pairs of a small cloud."""
+    from cloudloom.operators import neighbours
+
+    cloud = spark.range(400).selectExpr("'a' as cloud_id", "id as idx", "cast(hash(id) % 97 / 10 as float) as x", "cast(hash(id, 1) % 13 as float) as y", "cast(0.5 as float) as z")
+    for k in (1, 3):
+        rows = [sorted(tuple(r) for r in way(cloud.where("idx % 20 = 0"), cloud, k).select("idx", "rank", "ref_idx", "d2").collect()) for way in (neighbours._by_cells, neighbours._in_groups)]
+        assert rows[0] == rows[1] and len(rows[0]) == 20 * k

@@ -86,16 +86,25 @@ class Element:
     def __init__(self, tag: str, roles: tuple[str, ...], parent: Element | None):
         self.tag, self.roles, self.parent = tag, roles, parent
         inside = parent.inside if parent else False
-        known = parent.known if parent else 1 << AT["bias"]
-        for name in (f"in:{tag}", *(f"role:{r}" for r in roles), *([f"role-inside-main:{r}" for r in roles] if inside else ()), *([f"{tag}-in-article"] if inside else ())):
-            if name in AT:
-                known |= 1 << AT[name]
-        self.known, self.inside = known, inside or tag in ("article", "main") or "main" in roles
+        self.known = (parent.known if parent else 1 << AT["bias"]) | _given(tag, roles, inside)
+        self.inside = inside or tag in ("article", "main") or "main" in roles
         self.near = tag if tag not in INLINE or tag == "a" else parent.near if parent else "body"
 
     def features(self) -> list[int]:
-        known = self.known | (1 << AT[near] if (near := f"near:{self.near}") in AT else 0)
-        return [i for i in range(len(FEATURES)) if known >> i & 1]
+        return _listed(self.known, self.near)
+
+
+@functools.lru_cache(1 << 14)
+def _given(tag: str, roles: tuple[str, ...], inside: bool) -> int:
+    """The features, as bits, that an element gives to the blocks in it."""
+    names = [f"in:{tag}", *(f"role:{r}" for r in roles), *([f"role-inside-main:{r}" for r in roles] + [f"{tag}-in-article"] if inside else [])]
+    return sum(1 << AT[n] for n in set(names) if n in AT)
+
+
+@functools.lru_cache(1 << 14)
+def _listed(known: int, near: str) -> list[int]:
+    known |= 1 << AT[f"near:{near}"] if f"near:{near}" in AT else 0
+    return [i for i in range(len(FEATURES)) if known >> i & 1]
 
 
 def _roles(attributes: str) -> tuple[str, ...]:

@@ -43,7 +43,7 @@ class Draco(Params):
 
 @dataclass(frozen=True)
 class Gsplat16(Params):
-    pass
+    wide_positions: bool = False
 
 
 @dataclass(frozen=True)

@@ -436,7 +436,7 @@ def _round_trips(name: str, params: P.Params, target: str = "points") -> None:
 
 for _name, _params in [
     ("bitcode", P.Bitcode()), ("ply", P.Ply()), ("ply_ascii", P.Ply("Ascii")), ("ply_big_endian", P.Ply("BinaryBigEndian")), ("quantize", P.Quantize(delta_positions=True)), ("quantize_palette", P.Quantize(max_palette_colors=16)),
-    ("sogp", P.Sogp()), ("gsp16", P.Gsplat16()), ("gzip", P.Gzip()), ("zstd", P.Zstd(P.Ply(), 3)), ("lz4", P.Lz4()), ("snappy", P.Snappy(P.Gzip(P.Quantize()))),
+    ("sogp", P.Sogp()), ("gsp16", P.Gsplat16(wide_positions=True)), ("gzip", P.Gzip()), ("zstd", P.Zstd(P.Ply(), 3)), ("lz4", P.Lz4()), ("snappy", P.Snappy(P.Gzip(P.Quantize()))),
 ]:
     _round_trips(_name, _params)
 for _name, _params in [("splats_bitcode", P.Bitcode()), ("splats_ply", P.Ply()), ("splats_gsp16", P.Gsplat16())]:

@@ -87,6 +87,27 @@ def test_half_float_records():
         registry.encode(Cloud(np.array([[70000.0, 0, 0]], np.float32), np.zeros((1, 3), np.uint8)), P.Gsplat16())
 
 
+def test_wide_half_float_records():
+    largest = float(np.float32(2.0**128 - 2.0**117))  # eleven bits, all set
+    far = np.array([[65519.99, 65520, -70000], [89999, 2.0**24 + 2, 1e30], [largest, 1e-7, 0], [0.1, -6e-8, 3]], np.float32)
+    want = [[65504, 65536, -70016], [89984, 2.0**24, None], [largest, None, 0], [None, None, 3]]
+    for xyz in (far, far.astype(np.float64)):
+        data = registry.encode(Cloud(xyz, np.zeros((4, 3), np.uint8)), P.Gsplat16(True))
+        back = registry.decode(data).xyz
+        assert len(data) == 16 + 16 * 4 and data[3] == 2 and back.dtype == np.float32
+        assert all(w is None or w == b for w, b in zip(sum(want, []), back.ravel().tolist(), strict=True))
+        assert (np.abs(back - far) <= np.maximum(np.abs(far.astype(np.float64)) * 2.0**-11, 2.0**-25)).all()
+    assert registry.encode(SMOKE, P.Gsplat16(True)) == registry.encode(SMOKE, P.Gsplat16())
+    for value in (np.inf, np.nan, 3.402e38):
+        with pytest.raises(CodecError):
+            registry.encode(Cloud(np.array([[0, value, 0]], np.float32), np.zeros((1, 3), np.uint8)), P.Gsplat16(True))
+    splat = Cloud(SPLAT.xyz * np.float32(1e5), SPLAT.rgb, SPLAT.alpha, SPLAT.scale, SPLAT.rotation)
+    with pytest.raises(CodecError):
+        registry.encode(splat, P.Gsplat16(True))
+    with pytest.raises(FormatError):
+        registry.decode(b"GSP\x02" + registry.encode(SPLAT, P.Gsplat16())[4:])
+
+
 def test_ply_splats_and_alpha():
     for e in ("Ascii", "BinaryLittleEndian", "BinaryBigEndian"):
         back = registry.decode(registry.encode(SPLAT, P.Ply(e)))

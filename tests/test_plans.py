@@ -45,6 +45,23 @@ def test_oracle(spark, duck, name):
     assert left == right
 
 
+@pytest.fixture(scope="module")
+def far(tmp_path_factory):
+    """Events of users whose numbers no half float holds."""
+    out = tmp_path_factory.mktemp("far")
+    duckdb.sql(f"COPY (SELECT * REPLACE (user_id + [0, 65500, 90000, 3000000][1 + event_id % 4] AS user_id) FROM '{SF}/events.parquet') TO '{out}/events.parquet' (FORMAT parquet)")
+    return str(out)
+
+
+@pytest.mark.parametrize("name", ["decode_roundtrip_gsp16"])
+def test_oracle_of_far_positions(spark, far, name):
+    df = queries.QUERIES[name](spark, far)
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{far}/events.parquet'")
+        right = con.sql(f"SELECT {', '.join(df.columns)} FROM ({oracles.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(right)
+
+
 @pytest.fixture(scope="module")
 def clouds(spark):
     rng = np.random.default_rng(1)

@@ -393,7 +393,7 @@ def magic_sniff(spark, d):
 def payload_sizes(spark, d):
     """Sizes of the layouts whose size follows from the number of points."""
     points = points_ev(spark, d)
-    wanted = {"ply": P.Ply(), "gsp16": P.Gsplat16(), "qnt_p11c8": P.Quantize(11, 8), "qnt_p16c8": P.Quantize(16, 8), "sogp_p16": P.Sogp(compression="None")}
+    wanted = {"ply": P.Ply(), "gsp16": P.Gsplat16(wide_positions=True), "qnt_p11c8": P.Quantize(11, 8), "qnt_p16c8": P.Quantize(16, 8), "sogp_p16": P.Sogp(compression="None")}
     out = None
     for name, p in wanted.items():
         part = payloads.encode(points, p).select(F.lit(name).alias("codec"), "cloud_id", "n_points", "bytes", r9(bits_per_point(F.col("bytes"), F.col("n_points")), 6).alias("bpp"))

@@ -53,7 +53,7 @@ def far(tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["decode_roundtrip_gsp16"])
+@pytest.mark.parametrize("name", ["decode_roundtrip_gsp16", "payload_sizes"])
 def test_oracle_of_far_positions(spark, far, name):
     df = queries.QUERIES[name](spark, far)
     with duckdb.connect() as con:
